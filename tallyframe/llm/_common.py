@@ -2,56 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_STAGED: list = []
-_OWN_DIRS: dict[str, str] = {}
-
+from ..common import shipped, written
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset (local tests) a temporary folder of this process stands in.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="tallyframe-")
-    return _OWN_DIRS[app]
-
-
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallyframe/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _STAGED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def drop_staged() -> None:
-    """Delete what :func:`staged` wrote in this process. Frames built on it end with it."""
-    while _STAGED:
-        spark, path = _STAGED.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the JVM may be gone at interpreter exit
-            return
+    return written(df, name)
 
 
 def uniform(*cols: Column | str) -> Column:
