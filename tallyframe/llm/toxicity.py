@@ -27,53 +27,52 @@ from .quality import held_out, labelled_sample
 
 #: Most labelled documents that the model is fitted on: the first by a hash of doc_id.
 TRAIN_ROWS = 8_000
-LANDMARKS = 256
+LANDMARKS = 384
 DECAY = 0.5
+#: Characters that a subsequence may span.
+SPAN = 8
+#: Log-likelihood ratio above which a unit or prefix tells toxic sentences from clean ones.
+TELLING = 11.0
+PREFIXES = (4, 5)
+#: Rounds of training, each with the worst clean units of the one before.
+TURNS = 5
 #: Longest unit that is compared as one; longer ones are cut into overlapping pieces that cover them.
 WIDTH = 24
 REMEMBERED = 400_000
 ALPHABET = 64
 _GAP = re.compile(r"[^\W_]+")
+_SPELLED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
-def codes(word: str) -> list[int]:
-    """Characters as 0..63: marks, letters, digits, others by their code point."""
-    out = []
-    for c in f"\x02{word}\x03":
-        o = ord(c)
-        out.append(o - 2 if o < 4 else o - 95 if 97 <= o <= 122 else o - 20 if 48 <= o <= 57 else 38 + o % 26)
-    return out
+def codes(words: list[str]) -> np.ndarray:
+    """Characters of words of one length, with their marks, as 0..63: marks, letters, digits, others by code point."""
+    o = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le"), "<u4").reshape(len(words), -1).astype(np.int64)
+    return np.select([o < 4, (o >= 97) & (o <= 122), (o >= 48) & (o <= 57)], [o - 2, o - 95, o - 20], 38 + o % 26)
 
 
 @lru_cache(maxsize=None)
 def triples(length: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Index triples of a unit of this length, the decay of each one's span, and the unit's norm."""
-    at = np.array(list(combinations(range(length), 3)), np.int64).reshape(-1, 3)
+    at = np.array([c for c in combinations(range(length), 3) if c[2] - c[0] < SPAN], np.int64).reshape(-1, 3)
     weight = DECAY ** (at[:, 2] - at[:, 0] + 1.0) if len(at) else np.zeros(0)
     return at, weight, float(np.sqrt((weight**2).sum())) or 1.0
 
 
+def token_units(token: str) -> set[str]:
+    """The words that a token may stand for: all its letters without what is between them, and each part."""
+    parts = _GAP.findall(token)
+    return {"".join(parts), *parts} - {""}
+
+
+def tokens(text: str) -> set[str]:
+    """The distinct tokens of a text, and runs of at least three single characters joined."""
+    low = text.lower()
+    return {*low.split(), *("".join(run.split()) for run in _SPELLED.findall(low))}
+
+
 def units(text: str) -> set[str]:
-    """What is compared with insults: words without what stands between their letters, and runs of single letters joined."""
-    out: set[str] = set()
-    spelled: list[str] = []
-    for token in text.lower().split():
-        parts = _GAP.findall(token)
-        word = "".join(parts)
-        if len(word) == 1:
-            spelled.append(word)
-            continue
-        if len(spelled) > 2:
-            out.add("".join(spelled))
-        spelled = []
-        if len(parts) > 1:
-            out.update(parts)
-        if word:
-            out.add(word)
-    if len(spelled) > 2:
-        out.add("".join(spelled))
-    return out
+    return set().union(*map(token_units, tokens(text)))
 
 
 def pieces(unit: str) -> list[str]:
@@ -91,7 +90,7 @@ def by_length(words: list[str]):
     for n, rows in groups.items():
         for i in range(0, len(rows), 20_000):
             part = rows[i : i + 20_000]
-            yield np.array(part), np.array([codes(words[r]) for r in part], np.int64)
+            yield np.array(part), codes([words[r] for r in part])
 
 
 def triple_codes(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +118,7 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     return out
 
 
-def svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 3e-5) -> np.ndarray:
     """Weights (last: bias) of the linear machine with squared hinge loss, by Newton steps; y is 1 or -1."""
     z = np.column_stack([z, np.ones(len(z))])
     penalty = ridge * np.eye(z.shape[1])
@@ -129,7 +128,7 @@ def svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-3) ->
         short = 1 - y * (z @ w)
         on = short > 0
         zc = z[on] * cost[on, None]
-        new = np.linalg.solve(zc.T @ z[on] / len(z) + penalty, zc.T @ y[on] / len(z))
+        new = np.linalg.solve(zc.T @ z[on] / cost.sum() + penalty, zc.T @ y[on] / cost.sum())
         if np.abs(new - w).max() < 1e-8:
             break
         w = new
@@ -155,27 +154,27 @@ class StringMachine:
 
     @property
     def floor(self) -> float:
-        """Margin of a text without units."""
-        return self.bias
+        """Margin of a text without units: that of one which shares nothing with any landmark, or less."""
+        return min(self.bias, -1.0)
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
 class Scorer:
-    """Margins of texts; remembers the units it has seen."""
+    """Margins of texts: the largest of their tokens' units. Remembers the tokens it has seen."""
 
     def __init__(self, machine: StringMachine):
         self.machine, self.known = machine, {}
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        found = [units(t) for t in texts]
+        found = [tokens(t) for t in texts]
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
         new = list(set().union(*found) - known.keys()) if found else []
-        parts = [(i, p) for i, u in enumerate(new) for p in pieces(u)]
-        best = np.full(len(new), -np.inf)
+        parts = [(i, p) for i, t in enumerate(new) for u in token_units(t) for p in pieces(u)]
+        best = np.full(len(new), self.machine.floor)
         if parts:
             np.maximum.at(best, np.array([i for i, _ in parts]), self.machine.margins([p for _, p in parts]))
         known.update(zip(new, best.tolist(), strict=True))
@@ -188,22 +187,42 @@ def fit(texts: list[str], y: np.ndarray, at: float, landmarks: int = LANDMARKS,
     if not len(y) or y.min() == y.max():
         return flat
     rng = np.random.default_rng(seed)
+    # Units and prefixes by the distinct sentences they are in: copies of a text count once.
     seen: list[dict[str, int]] = [{}, {}]
-    sentences = []
+    total = [0, 0]
+    read: set[str] = set()
+    witness: dict[str, int] = {}
+    toxic_sentences = []
     for text, label in zip(texts, y.tolist(), strict=True):
-        own: set[str] = set()
         for s in _SENTENCE.split(text):
+            if s in read:
+                continue
+            read.add(s)
             u = {p for x in units(s) for p in pieces(x)}
-            own |= u
+            total[label] += 1
             if label:
-                sentences.append(u)
-        for u in own:
-            seen[label][u] = seen[label].get(u, 0) + 1
-    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    rate = {u: np.log((c + 0.1) / n1) - np.log((seen[0].get(u, 0) + 0.5) / n0) for u, c in seen[1].items() if c >= 2}
-    strong = sorted((u for u in rate if rate[u] > 2), key=lambda u: (-seen[1][u] * rate[u], u))
-    if not strong:
+                toxic_sentences.append(u)
+            for x in u | {x[:n] + "\0" for x in u for n in PREFIXES if len(x) > n}:
+                seen[label][x] = seen[label].get(x, 0) + 1
+    share = total[1] / sum(total)
+
+    def telling(x: str) -> float:
+        c1, c0 = seen[1].get(x, 0), seen[0].get(x, 0)
+        if c1 * (1 - share) <= 4 * c0 * share:
+            return 0.0
+        e1, e0 = (c1 + c0) * share, (c1 + c0) * (1 - share)
+        return c1 * np.log(c1 / e1) + (c0 * np.log(c0 / e0) if c0 else 0.0)
+
+    strength = {x: t for x in seen[1] if (t := telling(x)) > TELLING}
+    for u in toxic_sentences:
+        for x in u:
+            if x in strength or any(x[:n] + "\0" in strength for n in PREFIXES):
+                witness[x] = witness.get(x, 0) + 1
+    if not witness:
         return flat
+    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
+    strong = sorted(witness, key=lambda u: (-witness[u], u))
+    seen[0] = {x: c for x, c in seen[0].items() if not x.endswith("\0")}
     clean = sorted(seen[0], key=lambda u: (-seen[0][u], u))
     some = [clean[i] for i in sorted(rng.choice(len(clean), min(len(clean), 4_000), replace=False))]
     common = clean[:1_000]
@@ -212,22 +231,15 @@ def fit(texts: list[str], y: np.ndarray, at: float, landmarks: int = LANDMARKS,
     value, vector = np.linalg.eigh(gram)
     keep = value > 1e-6 * value[-1]
     whiten = vector[:, keep] / np.sqrt(value[keep])
-    # Each toxic sentence gives its strongest unit; every strong unit counts as often as it is that.
-    witness: dict[str, int] = {}
-    for u in sentences:
-        have = [x for x in u if rate.get(x, 0) > 2]
-        if have:
-            best = max(have, key=lambda x: (seen[1][x] * rate[x], x))
-            witness[best] = witness.get(best, 0) + 1
-    positives = sorted(witness)
+    positives = sorted(strong[:4_000])
     negatives = sorted(set(common) | set(some))
-    hard_pool = clean[1_000:60_000]
     machine = flat
-    for turn in range(3):
+    for turn in range(TURNS):
         words = positives + negatives
         z = kernel(words, marks) @ whiten
         label = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
-        cost = np.concatenate([np.sqrt(np.array([witness[p] for p in positives], float)), np.ones(len(negatives))])
+        share = np.sqrt(np.array([witness[p] for p in positives], float))
+        cost = np.concatenate([share * len(negatives) / share.sum(), np.ones(len(negatives))])
         w = svm(z, label, cost)
         beta = whiten @ w[:-1]
         table = np.zeros(ALPHABET**3)
@@ -236,10 +248,10 @@ def fit(texts: list[str], y: np.ndarray, at: float, landmarks: int = LANDMARKS,
             for i, r in enumerate(rows):
                 np.add.at(table, t[i], beta[r] * weight)
         machine = StringMachine(table, float(w[-1]), 1.0, 0.0)
-        if turn < 2 and hard_pool:  # clean units that look most like insults become negatives
-            m = machine.margins(hard_pool)
-            worst = np.argsort(-m)[:2_000]
-            negatives = sorted(set(negatives) | {hard_pool[i] for i in worst})
+        if turn < TURNS - 1:  # clean units that look most like insults become negatives
+            m = machine.margins(clean)
+            worst = np.argsort(-m)[:1_500]
+            negatives = sorted(set(negatives) | {clean[i] for i in worst if m[i] > -0.9})
     score = Scorer(machine)(texts)
     order = np.unique(score)
     cuts = (order[1:] + order[:-1]) / 2 if len(order) > 1 else order
@@ -248,7 +260,7 @@ def fit(texts: list[str], y: np.ndarray, at: float, landmarks: int = LANDMARKS,
     low = np.sort(score[y == 0])
     missed = np.searchsorted(high, cuts) / n1
     false = 1 - np.searchsorted(low, cuts) / n0
-    best = missed + 2 * false
+    best = n1 * missed + 3 * n0 * false
     at_best = np.flatnonzero(np.isclose(best, best.min()))
     cut = cuts[at_best[len(at_best) // 2]]
     slope = 4.0 / max(float(np.median(high) - np.median(low)), 1e-6)
