@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from ._common import staged, uniform, with_small
 
+SLOTS_PER_TASK = 250_000
 WORD_START = r"[\x20\x09-\x0D][^\x20\x09-\x0D]"
 
 
@@ -123,6 +124,9 @@ def mix(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, block_words: int = 64,
     counts = counts.withColumn("from_j", F.coalesce(F.sum("n").over(W.partitionBy("rank").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     counts = counts.withColumn("from_slot", F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     counts = counts.withColumn("slots", F.sum("n").over(W.partitionBy("shard"))).filter("n > 0")
+    # The few rows of counts grow into slots, so they are dealt out first; the slots are never broadcast.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(expected) // SLOTS_PER_TASK))
+    counts = counts.repartition(tasks, "shard", "rank")
     slots = counts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).withColumn("j", F.col("from_j") + F.col("i")).filter(F.col("j") < cap * F.col("blocks"))
     turn = F.floor(F.col("j") / F.col("blocks"))
     slots = slots.select(
@@ -133,7 +137,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, block_words: int = 64,
         permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.lit(3), "rank", turn).alias("block"),
     )
     uses = slots.groupBy("rank", "block").agg(F.count("*").alias("uses"))
-    taken = spans.join(uses, ["rank", "block"], "left").groupBy("rank", "start").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).alias("taken"))
+    taken = spans.join(uses.hint("merge"), ["rank", "block"], "left").groupBy("rank", "start").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).alias("taken"))
     none = ranked.filter("size = 0").select("rank", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
     return Mix(sources, slots, spans, taken.select("rank", "doc_id", "size", "taken").unionByName(none), n_sources)
 
