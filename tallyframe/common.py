@@ -65,8 +65,10 @@ def with_position(df: DataFrame, name: str = "__row", order: list[str] | None =
     one count per partition reaches the driver.
     """
     if order:
-        df = df.orderBy(*order_keys(order))
-    numbered = df.withColumn("__m", F.monotonically_increasing_id())
+        # Written once: the ranges of a sort are drawn anew each time it runs.
+        numbered = written(df.orderBy(*order_keys(order)).withColumn("__m", F.monotonically_increasing_id()), "positions")
+    else:
+        numbered = df.withColumn("__m", F.monotonically_increasing_id())
     part = F.shiftright(F.col("__m"), 33)
     counts = sorted((r[0], r[1]) for r in numbered.groupBy(part.alias("p")).count().collect())
     at, start = 0, {}

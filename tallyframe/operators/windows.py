@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..common import EngineError, fresh, is_numeric, need, number, same, small
+from ..common import EngineError, fresh, is_numeric, need, number, same
+from ..functions.order_stats import order_statistics
 
 PERCENTILES = {"p1": 0.01, "p5": 0.05, "p10": 0.10, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 ADDITIVE = ("count", "mean", "sum", "sd", "variance", "skewness", "kurtosis", "min", "max")
@@ -58,6 +59,16 @@ def _ordered_stat(stat: str, window: Column) -> Column:
     return sorted_percentile(s, PERCENTILES[stat])
 
 
+def _frame(by: list[str], low: float | None, high: float | None) -> str:
+    """A range frame in SQL, where bounds may be fractions and lie on one side."""
+
+    def bound(x: float | None, end: str) -> str:
+        return f"UNBOUNDED {end}" if x is None else "CURRENT ROW" if x == 0 else f"{abs(float(x))!r}D {'PRECEDING' if x < 0 else 'FOLLOWING'}"
+
+    part = "PARTITION BY " + ", ".join(f"`{b}`" for b in by) if by else ""
+    return f"({part} ORDER BY `__key` ASC NULLS LAST RANGE BETWEEN {bound(low, 'PRECEDING')} AND {bound(high, 'FOLLOWING')})"
+
+
 def range_stats(
     df: DataFrame,
     stats: dict[str, tuple[str, str]],
@@ -93,7 +104,7 @@ def range_stats(
     additive = [c for c in columns if any(s in ADDITIVE and c == v and not (excludeself and s in ("min", "max")) for s, v in stats.values())]
     k = number(key)
     work = df.withColumn("__key", k)
-    frame = W.partitionBy(*by).orderBy(F.col("__key").asc_nulls_last()).rangeBetween(W.unboundedPreceding if low is None else float(low), W.unboundedFollowing if high is None else float(high))
+    frame = _frame(by, low, high)
     usable = F.col("__key").isNotNull()
 
     if additive:
@@ -117,7 +128,7 @@ def range_stats(
         cells = work.filter(usable).groupBy(*by, "__key").agg(*partial)
         sums = []
         for c in additive:
-            sums += [F.sum(f"__n_{c}").over(frame).alias(f"__wn_{c}"), *[F.sum(f"__s{i}_{c}").over(frame).alias(f"__w{i}_{c}") for i in (1, 2, 3, 4)], F.min(f"__min_{c}").over(frame).alias(f"__wmin_{c}"), F.max(f"__max_{c}").over(frame).alias(f"__wmax_{c}")]
+            sums += [F.expr(f"{f}(`__{v}_{c}`) OVER {frame} AS `__w{v.removeprefix('s')}_{c}`") for f, v in (("sum", "n"), ("sum", "s1"), ("sum", "s2"), ("sum", "s3"), ("sum", "s4"), ("min", "min"), ("max", "max"))]
         on = [*by, "__key"]
         windows = cells.select(*[F.col(b).alias(f"__o{i}") for i, b in enumerate(on)], *sums)
         cond = F.lit(True)
@@ -130,7 +141,7 @@ def range_stats(
         work = work.withColumn("__row", F.col(row_id) if row_id else F.monotonically_increasing_id())
         for c in held:
             item = F.struct(F.col("__key").alias("k"), F.col("__row").alias("r"), number(c).alias("x"))
-            work = work.withColumn(f"__h_{c}", F.collect_list(F.when(usable & number(c).isNotNull(), item)).over(frame))
+            work = work.withColumn(f"__i_{c}", F.when(usable & number(c).isNotNull(), item)).withColumn(f"__h_{c}", F.expr(f"collect_list(`__i_{c}`) OVER {frame}"))
             if excludeself:
                 work = work.withColumn(f"__h_{c}", F.filter(f"__h_{c}", lambda s: s["r"] != F.col("__row")))
 
@@ -163,6 +174,16 @@ def winsor_bounds(df: DataFrame, columns: list[str], p: float, q: float, by: lis
     h has a fraction, else the mean of the j-th and (j + 1)-th; the smallest for h = 0 and the
     largest for j >= n. Values are counted, so a task holds distinct values in order, not rows.
     """
+    if not by:
+        bounds = {}
+        for c in columns:
+            x = df.select(number(c).alias("__x")).filter("__x is not null")
+            n = x.count()
+            ranks = {pct: _ranks(n, pct) for pct in (p, q)}
+            found = order_statistics(x, "__x", [r for pair in ranks.values() for r in pair]) if n >= 3 else {}
+            for name, pct in ((f"__lo_{c}", p), (f"__hi_{c}", q)):
+                bounds[name] = F.lit((found[ranks[pct][0]] + found[ranks[pct][1]]) / 2 if found else None).cast("double")
+        return df.sparkSession.range(1).select(*[v.alias(k) for k, v in bounds.items()])
     out = None
     for c in columns:
         x = number(c)
@@ -184,18 +205,23 @@ def winsor_bounds(df: DataFrame, columns: list[str], p: float, q: float, by: lis
         one = placed.groupBy(*by).agg(at(p).alias(f"__lo_{c}"), at(q).alias(f"__hi_{c}"))
         if out is None:
             out = one
-        elif by:
+        else:
             right = one.select(*[F.col(b).alias(f"__r{i}") for i, b in enumerate(by)], f"__lo_{c}", f"__hi_{c}")
             cond = F.lit(True)
             for i, b in enumerate(by):
                 cond = cond & same(F.col(b), F.col(f"__r{i}"))
             out = out.join(right, cond, "full").select(*[F.coalesce(b, f"__r{i}").alias(b) for i, b in enumerate(by)], *[n for n in [*out.columns, *right.columns] if n.startswith(("__lo_", "__hi_"))])
-        else:
-            r = one.first()
-            out = out.withColumns({f"__lo_{c}": F.lit(r[0]).cast("double"), f"__hi_{c}": F.lit(r[1]).cast("double")})
     return out
 
 
+def _ranks(n: int, pct: float) -> tuple[int, int]:
+    """The two ranks whose values are averaged; the same rank twice where there is nothing to average."""
+    h = n * float(pct) / 100
+    j = int(h // 1)
+    first = j if h == j else j + 1
+    return min(max(first, 1), n), min(max(j + 1, 1), n)
+
+
 def winsorize(
     df: DataFrame,
     columns: list[str],
@@ -243,5 +269,3 @@ def winsorize(
         out[names[c]] = F.when(x.isNull(), None).when(lo.isNull(), x).when((x < lo) | (x > hi), None if trim else F.when(x < lo, lo).otherwise(hi)).otherwise(x)
     return work.withColumns(out).select(*df.columns, *[n for n in names.values() if n not in df.columns])
 
-
-__all__ = ["range_stats", "small", "winsorize", "winsor_bounds"]
