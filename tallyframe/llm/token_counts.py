@@ -19,8 +19,8 @@ _PLAIN = re.compile("[^\t-\r\x20-\x7e\x85\xa0-įı-ɏ‐-‧]")
 _OTHER_NUMBERS = "²³¹¼½¾"
 _SPACE = "\t-\r \x85\xa0"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_{_OTHER_NUMBERS}]+|[\d{_OTHER_NUMBERS}]|(?:[^\w{_SPACE}]|_)+")
-#: Distinct pre-tokens that a Python worker remembers before it starts afresh.
-REMEMBERED = 400_000
+#: Distinct tokens that a Python worker keeps.
+REMEMBERED = 800_000
 
 
 def byte_characters() -> dict[int, str]:
@@ -43,17 +43,22 @@ class Splitter:
         self.characters = byte_characters()
         self.bytes = {c: b for b, c in self.characters.items()}
 
-    def pieces(self, text: str) -> list:
-        """The pre-tokens of ``text``: normalized strings, and ids for special strings inside it."""
+    def tokens(self, text: str) -> list[str]:
+        """Strings that no pre-token crosses: what stands between white space in plain texts; in others
+        the pre-tokens themselves, after a zero byte; and special strings."""
         if self.special_pattern is not None and "<|" in text and self.special_pattern.search(text):
-            out: list = []
+            out: list[str] = []
             for i, part in enumerate(self.special_pattern.split(text)):
-                out += [self.specials[part]] if i % 2 else self.pieces(part)
+                out += [part] if i % 2 else self.tokens(part)
             return out
         if not _PLAIN.search(text):
-            return _PIECE.findall(text.lower())
+            return text.lower().split()
         shown = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))
-        return [bytes(self.bytes[c] for c in piece).decode("utf-8") for piece, _ in shown]
+        return ["\0" + bytes(self.bytes[c] for c in piece).decode("utf-8") for piece, _ in shown]
+
+    def pieces(self, token: str) -> list[str]:
+        """The pre-tokens of a token that is no special string."""
+        return [token[1:]] if token[0] == "\0" else _PIECE.findall(token)
 
 
 class Merges:
@@ -146,21 +151,33 @@ def merges(path: str) -> Merges:
 
 
 class Counter:
-    """Token counts of texts; remembers the counts of pre-tokens it has seen."""
+    """Token counts of texts; remembers the counts of tokens it has seen."""
 
     def __init__(self, path: str):
         self.split, self.merge, self.known = splitter(path), merges(path), {}
 
     def __call__(self, texts: list[str]) -> list[int]:
-        pieces = [self.split.pieces(t) for t in texts]
+        tokens = [self.split.tokens(t) for t in texts]
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [w for w in set().union(*pieces) - known.keys()] if pieces else []
-        known.update((w, 1) for w in new if isinstance(w, int))
-        words = [w for w in new if not isinstance(w, int)]
-        known.update(zip(words, self.merge.counts([w.encode() for w in words]).tolist(), strict=True))
-        return [sum(map(known.__getitem__, p)) for p in pieces]
+        new = list(set().union(*tokens) - known.keys() - self.split.specials.keys()) if tokens else []
+        known.update(dict.fromkeys(self.split.specials, 1))
+        parts = [self.split.pieces(t) for t in new]
+        owner = np.repeat(np.arange(len(new)), np.fromiter(map(len, parts), np.int64, len(parts)))
+        unique = list({p for part in parts for p in part})
+        count = dict(zip(unique, self.merge.counts([p.encode() for p in unique]).tolist(), strict=True))
+        each = np.fromiter((count[p] for part in parts for p in part), np.int64, len(owner))
+        known.update(zip(new, np.bincount(owner, weights=each, minlength=len(new)).astype(np.int64).tolist(), strict=True))
+        out = [sum(map(known.__getitem__, t)) for t in tokens]
+        if len(known) > REMEMBERED:  # the first tokens stay; these were for this call
+            for t in new:
+                del known[t]
+        return out
+
+
+@lru_cache(maxsize=2)
+def counter(path: str) -> Counter:
+    """The counter of this Python worker, which keeps what it has seen from task to task."""
+    return Counter(path)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, slice_bytes: int = 2_000_000) -> DataFrame:
@@ -177,7 +194,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, slice_bytes: int
     def run(batches):
         import pyarrow as pa
 
-        count = Counter(path)
+        count = counter(path)
         for batch in batches:
             for part in slices(batch, batch.column(1).to_pylist(), slice_bytes):
                 texts = part.column(2).to_pylist()

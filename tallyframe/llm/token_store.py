@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import struct
 import zlib
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,7 +34,8 @@ from .token_counts import splitter
 MAGIC = b"TFS1"
 LEVEL_ROOM = 2.0
 SEGMENT_IDS = 1_000_000
-REMEMBERED = 300_000
+#: Tokens, and pre-tokens, that a Python worker keeps.
+REMEMBERED = 500_000
 
 
 def key_hash(keys: np.ndarray, level: int) -> np.ndarray:
@@ -107,9 +110,11 @@ class Segment:
 
     @staticmethod
     def pack(keys: list, ids: list[np.ndarray]) -> tuple[bytes, bytes]:
+        """Head and payload; ``ids`` has the same number of arrays, one or more, for each key."""
+        each = len(ids) // max(len(keys), 1)
         null = np.array([k is None for k in keys], np.uint8)
         values = np.array([0 if k is None else k for k in keys], np.int64)
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("<u8")
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])[each - 1 :: each] if each else []]).astype("<u8")
         numbered = np.flatnonzero(null == 0)
         distinct, first = np.unique(values[numbered], return_index=True)
         mph = PerfectHash.build(distinct)
@@ -141,7 +146,10 @@ class Segment:
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizer's own model, which is asked once for each distinct pre-token."""
+    """Ids of whole texts by the tokenizer's own model, which is asked once for each distinct token.
+
+    The ids of all tokens seen stand in one pool; texts are gathered from it by token number.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -149,31 +157,79 @@ class Encoder:
         self.split = splitter(path)
         self.model = Tokenizer(self.split.tokenizer.model)
         self.shown = str.maketrans({chr(b): c for b, c in self.split.characters.items()})
-        self.number: dict = {}
-        self.known: list[np.ndarray] = []
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [self.split.pieces(t) for t in texts]
-        if len(self.number) > REMEMBERED:
-            self.number, self.known = {}, []
-        new = list(set().union(*pieces) - self.number.keys()) if pieces else []
-        words = [w for w in new if not isinstance(w, int)]
-        found = self.model.encode_batch_fast([w.encode().decode("latin-1").translate(self.shown) for w in words], add_special_tokens=False)
-        for w, e in zip(words, found, strict=True):
-            self.number[w] = len(self.known)
-            self.known.append(e.ids)
-        for w in new:
-            if isinstance(w, int):
-                self.number[w] = len(self.known)
-                self.known.append([w])
-        get, known = self.number.__getitem__, self.known
-        out = []
-        for p in pieces:
-            ids: list[int] = []
-            for i in map(get, p):
-                ids += known[i]
-            out.append(np.array(ids, np.uint32))
-        return out
+        self.space = self.split.characters[0x20]
+        specials = self.split.specials
+        self.number = {t: i for i, t in enumerate(specials)}
+        self.tokens = Pool([[i] for i in specials.values()])
+        self.piece_number: dict[str, int] = {}
+        self.pieces = Pool([])
+
+    def learn(self, new: list[str]) -> None:
+        parts = [self.split.pieces(t) for t in new]
+        unseen = list({p for part in parts for p in part} - self.piece_number.keys())
+        if unseen:
+            # No piece holds a space, so one translation serves them all.
+            shown = " ".join(unseen).encode().decode("latin-1").translate(self.shown).split(self.space)
+            first = len(self.piece_number)
+            self.piece_number.update(zip(unseen, range(first, first + len(unseen)), strict=True))
+            self.pieces.add([e.ids for e in self.model.encode_batch_fast(shown, add_special_tokens=False)])
+        which = np.fromiter(map(self.piece_number.__getitem__, chain.from_iterable(parts)), np.int64)
+        owner = np.repeat(np.arange(len(new)), np.fromiter(map(len, parts), np.int64, len(parts)))
+        first = len(self.number)
+        self.number.update(zip(new, range(first, first + len(new)), strict=True))
+        ids, ends = self.pieces.gather(which)
+        self.tokens.add_flat(ids, np.bincount(owner, weights=self.pieces.size[which], minlength=len(new)).astype(np.int64))
+        if len(self.piece_number) > REMEMBERED:
+            for p in unseen:
+                del self.piece_number[p]
+            self.pieces.cut(len(self.piece_number))
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and where each text's ids start (one more entry ends the last)."""
+        tokens = [self.split.tokens(t) for t in texts]
+        new = list(set().union(*tokens) - self.number.keys())
+        self.learn(new)
+        counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        which = np.fromiter(map(self.number.__getitem__, chain.from_iterable(tokens)), np.int64, int(counts.sum()))
+        ids, ends = self.tokens.gather(which)
+        if len(self.number) > REMEMBERED:  # the first tokens stay; these were for this call
+            for t in new:
+                del self.number[t]
+            self.tokens.cut(len(self.number))
+        return ids, np.append(0, ends)[np.append(0, np.cumsum(counts))]
+
+
+class Pool:
+    """Id sequences one after another, found by their numbers."""
+
+    def __init__(self, ids: list[list[int]]):
+        self.ids, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.add(ids)
+
+    def add(self, ids: list[list[int]]) -> None:
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.add_flat(np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size)
+
+    def add_flat(self, ids: np.ndarray, size: np.ndarray) -> None:
+        self.start = np.append(self.start, len(self.ids) + np.cumsum(size) - size)
+        self.size, self.ids = np.append(self.size, size), np.append(self.ids, ids)
+
+    def cut(self, n: int) -> None:
+        self.ids = self.ids[: self.start[n]] if n < len(self.start) else self.ids
+        self.start, self.size = self.start[:n], self.size[:n]
+
+    def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the sequences numbered ``which``, and where each ends."""
+        size = self.size[which]
+        ends = np.cumsum(size)
+        at = np.repeat(self.start[which] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+        return self.ids[at], ends
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python worker, which keeps what it has seen from task to task."""
+    return Encoder(path)
 
 
 def write_tokens(docs: DataFrame, path: str, end_id: int = 1, segment_ids: int = SEGMENT_IDS, slice_bytes: int = 1_000_000) -> DataFrame:
@@ -188,7 +244,8 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 1, segment_ids: int =
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        encode, keys, ids, held = Encoder(path), [], [], 0
+        encode, keys, ids, held = encoder(path), [], [], 0
+        end = np.array([end_id], np.uint32)
 
         def segment():
             head, payload = Segment.pack(keys, ids)
@@ -199,10 +256,11 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 1, segment_ids: int =
 
         for batch in batches:
             for piece in slices(batch, batch.column(2).to_pylist(), slice_bytes):
-                for key, got in zip(piece.column(0).to_pylist(), encode(piece.column(1).to_pylist()), strict=True):
+                flat, at = encode(piece.column(1).to_pylist())
+                for i, key in enumerate(piece.column(0).to_pylist()):
                     keys.append(key)
-                    ids.append(np.append(got, np.uint32(end_id)))
-                    held += len(got) + 1
+                    ids += [flat[at[i] : at[i + 1]], end]
+                    held += int(at[i + 1] - at[i]) + 1
                     if held >= segment_ids:
                         yield segment()
                         keys, ids, held, seq = [], [], 0, seq + 1
