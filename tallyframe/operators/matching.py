@@ -160,18 +160,18 @@ def psm_match(
     else:
         pairs = _within(candidates, placed, method, caliper, kerneltype, bwidth)
     pairs = written(pairs, "match-pairs")
-    own = pairs.groupBy("t").agg(F.min_by("c", F.struct("dist", "side", "rank")).alias("first"), F.count("*").alias("nn"))
-    share = pairs.groupBy("c").agg(F.sum("w").alias("share"))
-    out = rows.join(own, F.col(key) == F.col("t"), "left").join(share, F.col(key) == F.col("c"), "left")
+    own = pairs.groupBy(F.col("t").alias("__t")).agg(F.min_by("c", F.struct("dist", "side", "rank")).alias("__first"), F.count("*").alias("__nn"))
+    share = pairs.groupBy(F.col("c").alias("__c")).agg(F.sum("w").alias("__share"))
+    out = rows.join(own, F.col(key) == F.col("__t"), "left").join(share, F.col(key) == F.col("__c"), "left")
     is_t = F.col("_treated") == 1
     t_off = (F.col("_pscore") < F.lit(bounds[0])) | (F.col("_pscore") > F.lit(bounds[1])) if common and bounds[0] is not None else F.lit(False)
     if not replacement:
-        t_off = t_off | F.col("nn").isNull()
+        t_off = t_off | F.col("__nn").isNull()
     out = out.withColumns({
         "_support": F.when(is_t & t_off, 0).otherwise(1),
-        "_weight": F.when(is_t, F.when(F.col("nn") > 0, 1.0).otherwise(0.0)).otherwise(F.coalesce("share", F.lit(0.0))),
-        "_id": F.when(is_t, F.col("first")),
-        "_nn": F.when(is_t, F.coalesce("nn", F.lit(0))).cast("long"),
+        "_weight": F.when(is_t, F.when(F.col("__nn") > 0, 1.0).otherwise(0.0)).otherwise(F.coalesce("__share", F.lit(0.0))),
+        "_id": F.when(is_t, F.col("__first")),
+        "_nn": F.when(is_t, F.coalesce("__nn", F.lit(0))).cast("long"),
     })
     out = out.select(*df.columns, "_pscore", "_treated", "_support", "_weight", "_id", "_nn")
     att = effect(out, outcome) if outcome else {}
