@@ -11,6 +11,8 @@ from ..functions.order_stats import order_statistics
 
 PERCENTILES = {"p1": 0.01, "p5": 0.05, "p10": 0.10, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 ADDITIVE = ("count", "mean", "sum", "sd", "variance", "skewness", "kurtosis", "min", "max")
+#: Segments of the key range that windows are computed in.
+SEGMENTS = 256
 STATS = (*ADDITIVE, "iqr", "first", "firstnm", "last", "lastnm", *PERCENTILES)
 
 
@@ -59,6 +61,28 @@ def _ordered_stat(stat: str, window: Column) -> Column:
     return sorted_percentile(s, PERCENTILES[stat])
 
 
+def _segments(work: DataFrame, low: float | None, high: float | None):
+    """A function that deals rows out to segments of the key range, so that a large group is many tasks.
+
+    A row goes to every segment whose windows it may lie in, its own included; ``__home`` marks the copy in its
+    own segment, whose window is complete. Segments are at least as wide as the interval, so a row has few
+    copies. None if the interval is unbounded.
+    """
+    if low is None or high is None:
+        return None
+    first, last = work.agg(F.min("__key"), F.max("__key")).first()
+    width = max(high - low, ((last or 0.0) - (first or 0.0)) / SEGMENTS) or 1.0
+    at = lambda c: F.floor(c / F.lit(float(width)))
+    home = at(F.col("__key"))
+
+    def deal(df: DataFrame) -> DataFrame:
+        reach = F.sequence(F.least(home, at(F.col("__key") - F.lit(float(high)))), F.greatest(home, at(F.col("__key") - F.lit(float(low)))))
+        out = df.withColumn("__seg", F.explode(F.when(F.col("__key").isNull(), F.array(F.lit(None).cast("long"))).otherwise(reach)))
+        return out.withColumn("__home", F.col("__key").isNull() | (F.col("__seg") == home))
+
+    return deal
+
+
 def _frame(by: list[str], low: float | None, high: float | None) -> str:
     """A range frame in SQL, where bounds may be fractions and lie on one side."""
 
@@ -104,7 +128,8 @@ def range_stats(
     additive = [c for c in columns if any(s in ADDITIVE and c == v and not (excludeself and s in ("min", "max")) for s, v in stats.values())]
     k = number(key)
     work = df.withColumn("__key", k)
-    frame = _frame(by, low, high)
+    split = _segments(work, low, high)
+    frame = _frame([*by, "__seg"] if split else by, low, high)
     usable = F.col("__key").isNotNull()
 
     if additive:
@@ -130,7 +155,8 @@ def range_stats(
         for c in additive:
             sums += [F.expr(f"{f}(`__{v}_{c}`) OVER {frame} AS `__w{v.removeprefix('s')}_{c}`") for f, v in (("sum", "n"), ("sum", "s1"), ("sum", "s2"), ("sum", "s3"), ("sum", "s4"), ("min", "min"), ("max", "max"))]
         on = [*by, "__key"]
-        windows = cells.select(*[F.col(b).alias(f"__o{i}") for i, b in enumerate(on)], *sums)
+        cells = split(cells) if split else cells.withColumn("__home", F.lit(True))
+        windows = cells.select(*[F.col(b).alias(f"__o{i}") for i, b in enumerate(on)], "__home", *sums).filter("__home").drop("__home")
         cond = F.lit(True)
         for i, b in enumerate(on):
             cond = cond & same(F.col(b), F.col(f"__o{i}"))
@@ -139,12 +165,16 @@ def range_stats(
     held = [c for c in columns if any(v == c and (s not in ADDITIVE or (excludeself and s in ("min", "max"))) for s, v in stats.values())]
     if held:
         work = work.withColumn("__row", F.col(row_id) if row_id else F.monotonically_increasing_id())
+        work = split(work) if split else work
         for c in held:
             item = F.struct(F.col("__key").alias("k"), F.col("__row").alias("r"), number(c).alias("x"))
             work = work.withColumn(f"__i_{c}", F.when(usable & number(c).isNotNull(), item)).withColumn(f"__h_{c}", F.expr(f"collect_list(`__i_{c}`) OVER {frame}"))
             if excludeself:
                 work = work.withColumn(f"__h_{c}", F.filter(f"__h_{c}", lambda s: s["r"] != F.col("__row")))
 
+        if split:
+            work = work.filter("__home")
+
     inside_self = (F.lit(low is None or low <= 0)) & (F.lit(high is None or high >= 0))
     out = {}
     for new, (s, c) in stats.items():
