@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import ceil, cos, pi, sin
+from math import cos, pi, sin
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -36,30 +36,41 @@ def kernel_weight(kernel: str, lag: int, bandwidth: float) -> float:
     raise EngineError(198, f"unknown kernel {kernel}")
 
 
-def hac_meat(data: DataFrame, scores: list[Column], time: str, panel: list[str], kernel: str, bandwidth: float) -> np.ndarray:
-    """Kernel-weighted sum of autocovariances of the scores, within panels; lags are joined by period."""
-    cols = [f"__g{i}" for i in range(len(scores))]
-    per = data.groupBy(*panel, time).agg(*[F.sum(s).alias(c) for s, c in zip(scores, cols, strict=True)])
-    now = [F.col(c) for c in cols]
-    out = cross(per, now)
-    span = per.agg((F.max(time) - F.min(time)).cast("long")).first()[0] or 0
-    last = span if kernel == "quadratic-spectral" else min(span, ceil(bandwidth) if kernel == "truncated" else ceil(bandwidth) - 1 if bandwidth == ceil(bandwidth) else int(bandwidth))
+def autocovariances(data: DataFrame, columns: list[Column], time: str, panel: list[str], kernel: str, bandwidth: float) -> dict[int, np.ndarray]:
+    """For every lag that the kernel weighs the sum over periods of the products of the columns with the lagged ones.
+
+    The columns are summed by panel and period first; one join carries all lags.
+    """
+    cols = [f"__g{i}" for i in range(len(columns))]
+    per = data.groupBy(*panel, time).agg(*[F.sum(s).alias(c) for s, c in zip(columns, cols, strict=True)])
+    out = {0: cross(per, [F.col(c) for c in cols])}
+    span = int(per.agg((F.max(time) - F.min(time)).cast("long")).first()[0] or 0)
+    last = span if kernel == "quadratic-spectral" else min(span, int(bandwidth) if kernel == "truncated" or bandwidth != int(bandwidth) else int(bandwidth) - 1)
     if last < 1:
         return out
-    # One join carries all lags: each period meets the periods up to `last` before it.
-    lags = per.select(*[F.col(p).alias(f"__p{i}") for i, p in enumerate(panel)], F.explode(F.sequence(F.lit(1), F.lit(int(last)))).alias("__lag"), F.col(time).alias("__t"), *[F.col(c).alias(f"__b{c}") for c in cols])
+    lags = per.select(*[F.col(p).alias(f"__p{i}") for i, p in enumerate(panel)], F.explode(F.sequence(F.lit(1), F.lit(last))).alias("__lag"), F.col(time).alias("__t"), *[F.col(c).alias(f"__b{c}") for c in cols])
     cond = F.col(time) == F.col("__t") + F.col("__lag")
     for i, p in enumerate(panel):
         cond = cond & F.col(p).eqNullSafe(F.col(f"__p{i}"))
-    met = per.join(lags, cond)
     pairs = [(i, j) for i in range(len(cols)) for j in range(len(cols))]
-    rows = met.groupBy("__lag").agg(*[F.sum(F.col(cols[i]) * F.col(f"__b{cols[j]}")).alias(f"m{k}") for k, (i, j) in enumerate(pairs)]).collect()
+    rows = per.join(lags, cond).groupBy("__lag").agg(*[F.sum(F.col(cols[i]) * F.col(f"__b{cols[j]}")).alias(f"m{k}") for k, (i, j) in enumerate(pairs)]).collect()
     for r in rows:
-        gamma = np.array([r[f"m{k}"] or 0.0 for k in range(len(pairs))]).reshape(len(cols), len(cols))
-        out += kernel_weight(kernel, r["__lag"], bandwidth) * (gamma + gamma.T)
+        out[r["__lag"]] = np.array([r[f"m{k}"] or 0.0 for k in range(len(pairs))]).reshape(len(cols), len(cols))
     return out
 
 
+def hac_meat(data: DataFrame, scores: list[Column], time: str, panel: list[str], kernel: str, bandwidth: float) -> np.ndarray:
+    """Kernel-weighted sum of the autocovariances of the scores, within panels."""
+    gammas = autocovariances(data, scores, time, panel, kernel, bandwidth)
+    return gammas[0] + sum((kernel_weight(kernel, lag, bandwidth) * (g + g.T) for lag, g in gammas.items() if lag), np.zeros_like(gammas[0]))
+
+
+def ac_meat(data: DataFrame, z: list[Column], e: Column, n: float, time: str, panel: list[str], kernel: str, bandwidth: float) -> np.ndarray:
+    """The same where errors may be autocorrelated but not heteroskedastic: autocovariances of e times those of z."""
+    gammas = autocovariances(data, [e, *z], time, panel, kernel, bandwidth)
+    return sum((kernel_weight(kernel, lag, bandwidth) * g[0, 0] / n * (g[1:, 1:] + (g[1:, 1:].T if lag else 0)) for lag, g in gammas.items()), np.zeros((len(z), len(z))))
+
+
 def partialled(g: np.ndarray, on: list[int]) -> np.ndarray:
     """Moments of all columns after projecting on the columns ``on``."""
     if not on:
@@ -220,9 +231,7 @@ def fe_iv(
             return clusters_meat(p.data, hac_panel, scores, w)[0]
         if bw:
             if vce == "unadjusted":
-                # Homoskedastic: autocovariances of e times those of z.
-                gam = hac_meat(p.data, [w * s for s in scores], time, hac_panel, kernel, bw)
-                return gam
+                return ac_meat(p.data, [F.sqrt(w) * p.columns[i] for i in z], F.sqrt(w) * e, n, time, hac_panel, kernel, bw)
             return hac_meat(p.data, [w * s for s in scores], time, hac_panel, kernel, bw)
         if vce == "cluster":
             out, g1 = clusters_meat(p.data, cluster[:1], scores, w)
@@ -383,18 +392,13 @@ def _identification(p: Problem, x, z, lost: float, robust: bool, vce: str, g_min
     cc = float(min(sv[:k]) ** 2)
     out = {"idstat": p.n * cc, "iddf": ell - k + 1, "cdf": cc / max(1 - cc, 1e-300) * rest / ell}
     out["widstat"] = out["cdf"]
-    for i in range(k):
-        others = [e for e in p.endog if e != p.endog[i]]
-        one = p.g if False else g
-        r2 = float(one[p.endog[i], p.excl] @ np.linalg.solve(zz, one[p.excl, p.endog[i]]) / one[p.endog[i], p.endog[i]])
+    fitted = xz @ np.linalg.solve(zz, xz.T)
+    for i, e in enumerate(p.endog):
+        r2 = float(fitted[i, i] / xx[i, i])
         f = r2 / ell / max((1 - r2) / rest, 1e-300)
         out |= {f"first_F{i + 1}": f, f"first_p{i + 1}": f_tail(f, ell, rest), f"partial_r2_{i + 1}": r2}
-        if others:
-            own = partialled(p.g, [*p.exog, *others])
-            fitted = g[np.ix_(p.endog, p.excl)] @ np.linalg.solve(zz, g[np.ix_(p.excl, p.endog)])
-            del own
-            shea = 1 / np.linalg.inv(fitted)[i, i] * np.linalg.inv(xx)[i, i]
-            out[f"shea_r2_{i + 1}"] = float(shea)
+        if k > 1:
+            out[f"shea_r2_{i + 1}"] = float(np.linalg.inv(xx)[i, i] / np.linalg.inv(fitted)[i, i])
     if robust:
         # Kleibergen-Paap: the smallest singular direction of the standardised first stage and its covariance.
         coef_z = np.linalg.solve(p.part(p.exog, p.exog), p.part(p.exog, p.excl)) if p.exog else np.zeros((0, ell))
@@ -403,33 +407,21 @@ def _identification(p: Problem, x, z, lost: float, robust: bool, vce: str, g_min
         xt = [p.columns[c] - dot([p.columns[e] for e in p.exog], coef_x[:, i]) for i, c in enumerate(p.endog)]
         work = p.data.withColumns({**{f"__z{i}": c for i, c in enumerate(zt)}, **{f"__x{i}": c for i, c in enumerate(xt)}})
         pi = np.linalg.solve(zz, xz.T)  # ell by k
-        for name, wald_form in (("lm", False), ("wald", True)):
+        # Under the null the rank is k - 1: the last left and right singular directions vanish.
+        a_perp, b_perp = u[:, k - 1 :], vt[k - 1 :].T
+        lam = (a_perp.T @ theta @ b_perp).ravel()
+        sel = np.kron(a_perp.T, b_perp.T) @ np.kron(rx, rz)
+        for wald_form in (False, True):
             e = [F.col(f"__x{i}") - (dot([F.col(f"__z{j}") for j in range(ell)], pi[:, i]) if wald_form else F.lit(0.0)) for i in range(k)]
-            aux = Problem.__new__(Problem)
-            aux.data, aux.weight, aux.square, aux.n = work, p.weight, p.square, p.n
-            # Scores of every (endogenous, instrument) pair, as columns over the data.
-            aux.data = work.withColumns({f"__k{i}_{j}": e[i] * F.col(f"__z{j}") for i in range(k) for j in range(ell)})
-            pair_cols = [F.col(f"__k{i}_{j}") for i in range(k) for j in range(ell)]
-            omega = _score_cov(p, aux.data, pair_cols)
-            left, right = (rx, rz)
-            trans = np.kron(left, right)
-            omega = trans @ omega @ trans.T
-            # rank k - 1 under the null: the last row of U and the last columns of V'.
-            uu, _, vv = u, sv, vt
-            a_perp = uu[:, k - 1 :]
-            b_perp = vv[k - 1 :].T
-            lam = (a_perp.T @ theta @ b_perp).ravel()
-            sel = np.kron(a_perp.T, b_perp.T)
-            cov = sel @ omega @ sel.T
-            rk = float(lam @ np.linalg.pinv(cov) @ lam)
+            pairs = work.withColumns({f"__k{i}_{j}": e[i] * F.col(f"__z{j}") for i in range(k) for j in range(ell)})
+            omega = _score_cov(p, pairs, [F.col(f"__k{i}_{j}") for i in range(k) for j in range(ell)])
+            rk = float(lam @ np.linalg.pinv(sel @ omega @ sel.T) @ lam)
             if wald_form:
                 clustered = vce == "cluster" and g_min
-                denom = p.n - 1 if clustered else p.n
                 adj = (g_min - 1) / g_min if clustered else 1.0
-                out["widstat"] = rk / denom * rest * adj / ell
+                out["widstat"] = rk / (p.n - 1 if clustered else p.n) * rest * adj / ell
             else:
                 out["idstat"] = rk
-            del name
     out["idp"] = chi2_tail(out["idstat"], out["iddf"])
     return out
 

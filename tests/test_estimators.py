@@ -6,7 +6,7 @@ import pytest
 
 from tallyframe.common import EngineError
 from tallyframe.functions.distributions import chi2_tail, f_tail, normal_quantile, t_tail
-from tallyframe.operators.iv import fe_iv
+from tallyframe.operators.iv import KERNELS, fe_iv, kernel_weight
 from tallyframe.operators.matching import binary_fit, normal_column
 from tallyframe.operators.quantile import check_loss, interior_point, quantile_reg
 from tallyframe.operators.regression import differenced, factor_columns, fe_ols, lagged, predict
@@ -234,6 +234,16 @@ def test_iv_autocorrelation(panel, spark):
             own = s[pdf.i.values == i]
             total += 2 * weight * (own[lag:] @ own[:-lag])
     assert np.isclose(r.v[0, 0], total / (z @ x) ** 2 * n / (n - 2), rtol=1e-7)
+    e = y - b * x
+    ac = fe_iv(df, "y", ["x"], ["z"], bw=2, time="t", panel=["i"])
+    total = (e @ e) / n * (z @ z)
+    ge = sum(e[pdf.i.values == i][1:] @ e[pdf.i.values == i][:-1] for i in range(15))
+    gz = sum(z[pdf.i.values == i][1:] @ z[pdf.i.values == i][:-1] for i in range(15))
+    total += 2 * 0.5 * ge / n * gz
+    assert np.isclose(ac.v[0, 0], total / (z @ x) ** 2 * n / (n - 2), rtol=1e-7)
+    for kernel in KERNELS:
+        assert kernel_weight(kernel, 0, 4) == 1 and abs(kernel_weight(kernel, 3, 4)) <= 1
+        assert fe_iv(df, "y", ["x"], ["z"], vce="robust", bw=3, kernel=kernel, time="t", panel=["i"]).se[0] > 0
     dk = fe_iv(df, "y", ["x"], ["z"], dkraay=2, time="t")
     by_t = np.array([s[pdf.t.values == t].sum() for t in range(12)])
     total = by_t @ by_t + 2 * 0.5 * (by_t[1:] @ by_t[:-1])
