@@ -8,7 +8,7 @@ from ..operators.binned import binned_means
 from ..operators.iv import fe_iv
 from ..operators.matching import psm_match
 from ..operators.quantile import quantile_reg
-from ..operators.regression import fe_ols, predict
+from ..operators.regression import differenced, factor_columns, fe_ols, lagged, predict
 from ..operators.windows import STATS, range_stats, winsorize
 from .registry import query
 from .relational_queries import table
@@ -489,3 +489,68 @@ _qr("quantile_reg_cluster", quantile=0.5, vce="cluster", cluster="g")
 _qr("quantile_reg_kernel", quantile=0.5, denmethod="kernel", bwmethod="bofinger")
 _qr("quantile_reg_residual", quantile=0.4, denmethod="residual", bwmethod="chamberlain")
 _qr("quantile_reg_absorb", quantile=0.5, absorb_=["g"])
+
+
+# --------------------------------------------------------------------- factors, lags, more variants
+
+_PRIORITY = "SELECT o_totalprice / 997 AS y, o_custkey % 50 AS x, o_orderpriority AS g FROM orders"
+
+
+@query(f"""
+    WITH m AS (SELECT g, avg(x) AS mx, avg(y) AS my FROM ({_PRIORITY}) GROUP BY g),
+         b AS (SELECT sum((x - mx) * (y - my)) / sum((x - mx) ^ 2) AS b FROM ({_PRIORITY}) JOIN m USING (g)),
+         c AS (SELECT my - b * mx AS a FROM m, b WHERE g = (SELECT min(g) FROM m))
+    SELECT 'x' AS term, round(b, 6) AS coef FROM b UNION ALL SELECT '_cons', round(a, 6) FROM c UNION ALL
+    SELECT g || '.g', round(my - b * mx - a, 6) FROM m, b, c WHERE g <> (SELECT min(g) FROM m)
+""")
+def fe_ols_factor_dummies(spark, d):
+    o = table(spark, d, "orders").select((F.col("o_totalprice") / 997).alias("y"), (F.col("o_custkey") % 50).alias("x"), F.col("o_orderpriority").alias("g"))
+    return _coef(spark, fe_ols(o, "y", ["x"], extra=factor_columns(o, "g"))).select("term", "coef")
+
+
+@query("""
+    WITH e AS (SELECT event_id % 50 AS i, event_id // 50 AS t, value FROM events WHERE event_id % 7 <> 0)
+    SELECT a.i, a.t, b.value AS lag1, round(a.value - b.value, 6) AS diff FROM e a LEFT JOIN e b ON a.i = b.i AND a.t = b.t + 1
+""")
+def panel_lag_difference(spark, d):
+    k = F.col("event_id")
+    e = table(spark, d, "events").filter(k % 7 != 0).select((k % 50).alias("i"), F.floor(k / 50).alias("t"), "value")
+    return e.select("i", "t", lagged(e, "value", "t", ["i"]).alias("lag1"), F.round(differenced(e, "value", "t", ["i"]), 6).alias("diff"))
+
+
+@query(f"""
+    WITH w AS (SELECT *, l_linenumber AS wt FROM (SELECT ln(l_extendedprice) AS y, l_quantity AS x, l_linenumber FROM lineitem)),
+         m AS (SELECT sum(wt * x) / sum(wt) AS mx, sum(wt * y) / sum(wt) AS my FROM w),
+         b AS (SELECT sum(wt * (x - mx) * (y - my)) / sum(wt * (x - mx) ^ 2) AS b FROM w, m)
+    SELECT 'x' AS term, round(b, 6) AS coef FROM b UNION ALL SELECT '_cons', round(my - b * mx, 6) FROM b, m
+""")
+def fe_ols_frequency_weights(spark, d):
+    rows = table(spark, d, "lineitem").select(F.log("l_extendedprice").alias("y"), F.col("l_quantity").alias("x"), F.col("l_linenumber").alias("wt"))
+    return _coef(spark, fe_ols(rows, "y", ["x"], weight="wt", weight_kind="fw")).select("term", "coef")
+
+
+def _kernel(kind: str, sql: str, bound: str = "<") -> None:
+    def run(spark, d):
+        return _pairs(psm_match(_cust(spark, d), "treat", "c_custkey", pscore="score", method="kernel", kerneltype=kind, bwidth=0.005))
+
+    run.__name__ = f"psm_kernel_{kind}"
+    query(f"""
+        WITH p AS (SELECT a.c_custkey AS t, b.c_custkey AS c, (a.score - b.score) / 0.005 AS u
+                   FROM (SELECT * FROM ({_CUST}) WHERE treat = 1) a JOIN (SELECT * FROM ({_CUST}) WHERE treat = 0) b ON abs(a.score - b.score) {bound} {'0.03' if kind == 'normal' else '0.005'})
+        SELECT t AS treated, c AS control, round(({sql}) / sum({sql}) OVER (PARTITION BY t), 6) AS weight FROM p
+    """)(run)
+
+
+_kernel("normal", "exp(-u * u / 2)", "<=")
+_kernel("biweight", "(1 - u * u) ^ 2")
+_kernel("uniform", "0.5", "<=")
+_kernel("tricube", "(1 - abs(u) ^ 3) ^ 3")
+
+
+@query(f"""
+    WITH d AS ({_IV_ONE}), e AS (SELECT sum(dz * dx) AS zx, sum(dz ^ 2) AS zz, sum(dx ^ 2) AS xx, count(*) AS n, count(DISTINCT s) AS k FROM d)
+    SELECT round(zx ^ 2 / zz / xx, 6) AS partial_r2, round(n * zx ^ 2 / zz / xx, 3) AS idstat FROM e
+""")
+def fe_iv_first_stage(spark, d):
+    s = fe_iv(_iv(spark, d), "y", ["x"], ["z"], absorb_=["s"]).scalars
+    return spark.createDataFrame([(round(s["partial_r2_1"], 6), round(s["idstat"], 3))], "partial_r2 double, idstat double")
