@@ -218,7 +218,6 @@ def test_keep_one(spark, docs):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     got = sorted(str(r.doc_id) for r in kept.collect())
-    assert len(got) == len(set(r[2] for r in brute_components([(i, t) for i, t in EDGE])) | {"x"}) - 1 or len(got) > 0
     comps = {}
     for i, f, c in brute_components(EDGE):
         comps.setdefault(c if c != "None" else "None" + f, set()).add(i)
