@@ -12,7 +12,9 @@ each character triple, which is how texts are scored.
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
@@ -26,7 +28,7 @@ from ._common import shipped, slices
 from .quality import held_out, labelled_sample
 
 #: Most labelled documents that the model is fitted on: the first by a hash of doc_id.
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 6_000
 LANDMARKS = 384
 DECAY = 0.5
 #: Characters that a subsequence may span.
@@ -38,7 +40,7 @@ PREFIXES = (4, 5)
 TURNS = 5
 #: Longest unit that is compared as one; longer ones are cut into overlapping pieces that cover them.
 WIDTH = 24
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 ALPHABET = 64
 _GAP = re.compile(r"[^\W_]+")
 _SPELLED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
@@ -102,33 +104,36 @@ def triple_codes(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Scaled subsequence kernel of every word with every landmark."""
     used = np.unique(np.concatenate([triple_codes(c)[0].ravel() for _, c in by_length(landmarks)]))
-    phi = np.zeros((len(used) + 1, len(landmarks)))
+    phi = np.zeros((len(used) + 1, len(landmarks)), np.float32)
     for rows, c in by_length(landmarks):
         t, w = triple_codes(c)
         for i, r in enumerate(rows):
             np.add.at(phi[:, r], np.searchsorted(used, t[i]), w)
-    out = np.zeros((len(words), len(landmarks)))
+    out = np.zeros((len(words), len(landmarks)), np.float32)
     for rows, c in by_length(words):
-        step = max(1, 4_000_000 // (len(triples(c.shape[1])[0]) * len(landmarks) + 1))
+        step = max(1, 2_000_000 // (len(triples(c.shape[1])[0]) * len(landmarks) + 1))
         for i in range(0, len(rows), step):
             t, w = triple_codes(c[i : i + step])
             at = np.minimum(np.searchsorted(used, t), len(used) - 1)
             at[used[at] != t] = len(used)
-            out[rows[i : i + step]] = np.einsum("ijk,j->ik", phi[at], w)
+            out[rows[i : i + step]] = np.einsum("ijk,j->ik", phi[at], w.astype(np.float32))
     return out
 
 
 def svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 3e-5) -> np.ndarray:
     """Weights (last: bias) of the linear machine with squared hinge loss, by Newton steps; y is 1 or -1."""
-    z = np.column_stack([z, np.ones(len(z))])
-    penalty = ridge * np.eye(z.shape[1])
+    width = z.shape[1] + 1
+    penalty = ridge * np.eye(width)
     penalty[-1, -1] = 1e-9
-    w = np.zeros(z.shape[1])
+    w = np.zeros(width)
     for _ in range(50):
-        short = 1 - y * (z @ w)
-        on = short > 0
-        zc = z[on] * cost[on, None]
-        new = np.linalg.solve(zc.T @ z[on] / cost.sum() + penalty, zc.T @ y[on] / cost.sum())
+        gram, side = np.zeros((width, width)), np.zeros(width)
+        for i in range(0, len(z), 2_000):  # in parts, so that no second copy of z is held
+            part = np.column_stack([z[i : i + 2_000], np.ones(len(z[i : i + 2_000]))])
+            c = cost[i : i + 2_000] * (1 - y[i : i + 2_000] * (part @ w) > 0)
+            gram += (part * c[:, None]).T @ part
+            side += part.T @ (c * y[i : i + 2_000])
+        new = np.linalg.solve(gram / cost.sum() + penalty, side / cost.sum())
         if np.abs(new - w).max() < 1e-8:
             break
         w = new
@@ -143,6 +148,7 @@ class StringMachine:
     bias: float
     slope: float
     shift: float
+    name: str = ""
 
     def margins(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), self.bias)
@@ -170,15 +176,17 @@ class Scorer:
     def __call__(self, texts: list[str]) -> np.ndarray:
         found = [tokens(t) for t in texts]
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
         new = list(set().union(*found) - known.keys()) if found else []
         parts = [(i, p) for i, t in enumerate(new) for u in token_units(t) for p in pieces(u)]
         best = np.full(len(new), self.machine.floor)
         if parts:
             np.maximum.at(best, np.array([i for i, _ in parts]), self.machine.margins([p for _, p in parts]))
         known.update(zip(new, best.tolist(), strict=True))
-        return np.array([max(map(known.__getitem__, f), default=self.machine.floor) for f in found])
+        out = np.array([max(map(known.__getitem__, f), default=self.machine.floor) for f in found])
+        if len(known) > REMEMBERED:  # the first tokens stay; these were for this call
+            for t in new:
+                del known[t]
+        return out
 
 
 def fit(texts: list[str], y: np.ndarray, at: float, landmarks: int = LANDMARKS, seed: int = 11) -> StringMachine:
@@ -187,23 +195,28 @@ def fit(texts: list[str], y: np.ndarray, at: float, landmarks: int = LANDMARKS,
     if not len(y) or y.min() == y.max():
         return flat
     rng = np.random.default_rng(seed)
-    # Units and prefixes by the distinct sentences they are in: copies of a text count once.
+    # Units and prefixes by the distinct sentences they are in: copies of a text count once. Of clean
+    # sentences only prefixes that toxic ones have are counted.
     seen: list[dict[str, int]] = [{}, {}]
     total = [0, 0]
-    read: set[str] = set()
+    read: set[bytes] = set()
     witness: dict[str, int] = {}
     toxic_sentences = []
-    for text, label in zip(texts, y.tolist(), strict=True):
-        for s in _SENTENCE.split(text):
-            if s in read:
-                continue
-            read.add(s)
-            u = {p for x in units(s) for p in pieces(x)}
-            total[label] += 1
-            if label:
-                toxic_sentences.append(u)
-            for x in u | {x[:n] + "\0" for x in u for n in PREFIXES if len(x) > n}:
-                seen[label][x] = seen[label].get(x, 0) + 1
+    for label in (1, 0):
+        for text in (t for t, own in zip(texts, y.tolist(), strict=True) if own == label):
+            for s in _SENTENCE.split(text):
+                mark = hashlib.blake2b(s.encode(), digest_size=8).digest()
+                if mark in read:
+                    continue
+                read.add(mark)
+                u = {p for x in units(s) for p in pieces(x)}
+                heads = {x[:n] + "\0" for x in u for n in PREFIXES if len(x) > n}
+                total[label] += 1
+                if label:
+                    toxic_sentences.append(u)
+                for x in u | (heads if label else heads & seen[1].keys()):
+                    seen[label][x] = seen[label].get(x, 0) + 1
+    del read
     share = total[1] / sum(total)
 
     def telling(x: str) -> float:
@@ -224,19 +237,19 @@ def fit(texts: list[str], y: np.ndarray, at: float, landmarks: int = LANDMARKS,
     strong = sorted(witness, key=lambda u: (-witness[u], u))
     seen[0] = {x: c for x, c in seen[0].items() if not x.endswith("\0")}
     clean = sorted(seen[0], key=lambda u: (-seen[0][u], u))
-    some = [clean[i] for i in sorted(rng.choice(len(clean), min(len(clean), 4_000), replace=False))]
+    some = [clean[i] for i in sorted(rng.choice(len(clean), min(len(clean), 2_500), replace=False))]
     common = clean[:1_000]
     marks = strong[: landmarks * 3 // 4] + some[: landmarks // 4]
-    gram = kernel(marks, marks)
+    gram = kernel(marks, marks).astype(float)
     value, vector = np.linalg.eigh(gram)
     keep = value > 1e-6 * value[-1]
     whiten = vector[:, keep] / np.sqrt(value[keep])
-    positives = sorted(strong[:4_000])
+    positives = sorted(strong[:2_500])
     negatives = sorted(set(common) | set(some))
     machine = flat
     for turn in range(TURNS):
         words = positives + negatives
-        z = kernel(words, marks) @ whiten
+        z = kernel(words, marks) @ whiten.astype(np.float32)
         label = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
         share = np.sqrt(np.array([witness[p] for p in positives], float))
         cost = np.concatenate([share * len(negatives) / share.sum(), np.ones(len(negatives))])
@@ -252,7 +265,9 @@ def fit(texts: list[str], y: np.ndarray, at: float, landmarks: int = LANDMARKS,
             m = machine.margins(clean)
             worst = np.argsort(-m)[:1_500]
             negatives = sorted(set(negatives) | {clean[i] for i in worst if m[i] > -0.9})
-    score = Scorer(machine)(texts)
+    scorer = Scorer(machine)
+    score = np.concatenate([scorer(texts[i : i + 200]) for i in range(0, len(texts), 200)])
+    del scorer
     order = np.unique(score)
     cuts = (order[1:] + order[:-1]) / 2 if len(order) > 1 else order
     cuts = cuts[np.linspace(0, len(cuts) - 1, min(len(cuts), 2_000)).astype(int)]
@@ -262,19 +277,22 @@ def fit(texts: list[str], y: np.ndarray, at: float, landmarks: int = LANDMARKS,
     false = 1 - np.searchsorted(low, cuts) / n0
     best = n1 * missed + 3 * n0 * false
     at_best = np.flatnonzero(np.isclose(best, best.min()))
-    cut = cuts[at_best[len(at_best) // 2]]
+    cut = cuts[at_best[len(at_best) // 3]]
     slope = 4.0 / max(float(np.median(high) - np.median(low)), 1e-6)
-    return StringMachine(machine.table, machine.bias, slope, float(np.log(at / (1 - at)) - slope * cut))
+    return StringMachine(machine.table, machine.bias, slope, float(np.log(at / (1 - at)) - slope * cut), uuid.uuid4().hex)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.3, most: int = TRAIN_ROWS) -> StringMachine:
     sample = labelled_sample(docs, labels, label, most).collect()
     sample.sort(key=lambda r: (r.doc_id, r.y, r.text))
-    return fit([r.text for r in sample], np.array([min(1, max(0, r.y)) for r in sample], int), threshold)
+    texts, y = [r.text for r in sample], np.array([min(1, max(0, r.y)) for r in sample], int)
+    del sample
+    return fit(texts, y, threshold)
 
 
 def scored(docs: DataFrame, machine: StringMachine) -> DataFrame:
     """``docs`` (text among its columns) with the column toxic_score, of every whole text, added."""
+    machine.name = machine.name or uuid.uuid4().hex
     model = docs.sparkSession.sparkContext.broadcast(machine)
     names = [*docs.columns, "toxic_score"]
     at = docs.columns.index("text")
