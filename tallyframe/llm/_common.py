@@ -27,6 +27,17 @@ def with_small(df: DataFrame, small: DataFrame, on, rows: int, how: str = "inner
     return df.join(F.broadcast(small) if rows <= most else small, on, how)
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """The one cache that this Python worker keeps from task to task; asking for another lets it go."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def slices(batch, sizes, most: int):
     """Cut an Arrow batch into runs of rows of about ``most`` in total size (a larger row stands alone)."""
     start, total = 0, 0

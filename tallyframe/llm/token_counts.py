@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import shipped, slices
+from ._common import kept, shipped, slices
 
 #: Texts of only these characters are lower-cased and split here: letters below U+0250 have no
 #: combining marks and one-to-one lower case (U+0130 apart), and general punctuation is no letter,
@@ -174,12 +174,6 @@ class Counter:
         return out
 
 
-@lru_cache(maxsize=2)
-def counter(path: str) -> Counter:
-    """The counter of this Python worker, which keeps what it has seen from task to task."""
-    return Counter(path)
-
-
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, slice_bytes: int = 2_000_000) -> DataFrame:
     """Count the tokens of every whole text of ``docs`` (doc_id, text) as the tokenizer file at ``path`` gives them.
 
@@ -194,7 +188,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, slice_bytes: int
     def run(batches):
         import pyarrow as pa
 
-        count = counter(path)
+        count = kept(("counter", path), lambda: Counter(path))
         for batch in batches:
             for part in slices(batch, batch.column(1).to_pylist(), slice_bytes):
                 texts = part.column(2).to_pylist()

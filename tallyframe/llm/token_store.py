@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import shipped, slices, staged
+from ._common import kept, shipped, slices, staged
 from .token_counts import splitter
 
 MAGIC = b"TFS1"
@@ -226,12 +225,6 @@ class Pool:
         return self.ids[at], ends
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """The encoder of this Python worker, which keeps what it has seen from task to task."""
-    return Encoder(path)
-
-
 def write_tokens(docs: DataFrame, path: str, end_id: int = 1, segment_ids: int = SEGMENT_IDS, slice_bytes: int = 1_000_000) -> DataFrame:
     """Encode every whole text of ``docs`` (doc_id, text), append ``end_id`` and write the segments.
 
@@ -244,7 +237,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 1, segment_ids: int =
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        encode, keys, ids, held = encoder(path), [], [], 0
+        encode, keys, ids, held = kept(("encoder", path), lambda: Encoder(path)), [], [], 0
         end = np.array([end_id], np.uint32)
 
         def segment():

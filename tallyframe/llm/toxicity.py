@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import shipped, slices
+from ._common import kept, shipped, slices
 from .quality import held_out, labelled_sample
 
 #: Most labelled documents that the model is fitted on: the first by a hash of doc_id.
@@ -300,7 +300,8 @@ def scored(docs: DataFrame, machine: StringMachine) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        score = Scorer(model.value)
+        # What this worker has seen stays from task to task.
+        score = kept(("toxicity", model.value.name), lambda: Scorer(model.value))
         for batch in batches:
             for part in slices(batch, batch.column(len(names) - 1).to_pylist(), 1_000_000):
                 p = model.value.probability(score([t or "" for t in part.column(at).to_pylist()]))
