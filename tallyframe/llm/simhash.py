@@ -204,27 +204,35 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame
     return linked(docs, words, bits).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def text_key(column: str = "text"):
+    """The hash that names a text; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(column, F.lit("")))
+
+
+def survivors(docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each root of ``roots`` (h, root), which names every text by its hash.
+
+    It is the row of the smallest (doc_id, text hash), rows with a doc_id first; of rows equal in both,
+    that of the smallest hash of all columns. All columns are returned.
+    """
+    hashed = docs.withColumn("__h", text_key())
+    per = hashed.groupBy("__h", "doc_id").agg(F.count("*").alias("rows"))
+    first = per.groupBy("__h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__h", "rows")).alias("first"))
+    kept = first.join(roots.select(F.col("h").alias("__h"), "root"), "__h").groupBy("root").agg(F.min("first").alias("first"))
+    kept = staged(kept.select(F.col("first.doc_id").alias("__id"), F.col("first.__h").alias("__k"), F.col("first.rows").alias("__rows")), "survivors")
+    match = (F.col("__h") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    if kept.filter("__rows > 1").limit(1).count() == 0:
+        return hashed.join(kept, match, "left_semi").select(docs.columns)
+    out = hashed.join(kept.filter("__rows = 1"), match, "left_semi").select(docs.columns)
+    twice = hashed.join(kept.filter("__rows > 1"), match, "left_semi")
+    picked = twice.groupBy("__h", "doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    return out.unionByName(picked.select("row.*"))
+
+
 def keep_one(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each component stays: that of the smallest doc_id.
+    """The rows of ``docs`` that stay when one row of each component stays, by :func:`survivors`.
 
-    Of several rows with that doc_id the one of the smallest text hash stays; a component without
-    any doc_id keeps its row of the smallest text hash. All columns are returned.
+    Components are those of texts, not of doc_ids, so a doc_id that stands on several texts stands for none of them.
     """
-    marks = staged(linked(docs, words, bits), "simhash-components")
-    kept = marks.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = staged(kept, "simhash-kept")
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    again = kept.filter("rows > 1").select("doc_id")
-    if again.limit(1).count():
-        twice = out.join(again, "doc_id", "left_semi").select("doc_id", F.struct(*docs.columns).alias("row"), text_hash.alias("h"))
-        first = twice.groupBy("doc_id").agg(F.min_by("row", "h").alias("row")).select("row.*")
-        out = out.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(first)
-    lost = marks.filter("doc_id is null and component_id is null").select("fp", "root").distinct()
-    if lost.limit(1).count():
-        nameless = docs.filter("doc_id is null").withColumn("h", text_hash)
-        by_text = fingerprints(nameless.select(F.col("h").alias("doc_id"), "text"), words).distinct().withColumnRenamed("doc_id", "h")
-        pick = by_text.join(lost, "fp").groupBy("root").agg(F.min("h").alias("h")).select("h").distinct()
-        rows = nameless.join(pick, "h", "left_semi").groupBy("h").agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*")
-        out = out.unionByName(rows)
-    return out
+    named = linked(docs.select(text_key().alias("doc_id"), "text"), words, bits)
+    return survivors(docs, named.select(F.col("doc_id").alias("h"), F.col("component_id").alias("root")).distinct())

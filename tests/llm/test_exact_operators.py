@@ -224,6 +224,16 @@ def test_keep_one(spark, docs):
     assert len(got) == len(comps)
 
 
+def test_keep_one_of_shared_ids(spark):
+    texts = [" ".join(f"{t}{i}" for i in range(40)) for t in "abc"]
+    # 7 and 3 each stand on two unrelated texts.
+    rows = [(7, texts[0]), (7, texts[1]), (8, texts[0]), (3, texts[2]), (1, texts[2]), (3, texts[1]), (None, texts[1]), (1, texts[2]), (None, None), (None, "")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted([("7", texts[0]), ("3", texts[1]), ("1", texts[2]), ("None", "")])
+    hot = spark.createDataFrame([(5, " ".join(f"{k}w{i}" for i in range(30))) for k in range(40)], "doc_id long, text string")
+    assert simhash.keep_one(hot).count() == 40
+
+
 # ------------------------------------------------------------------------------- decontamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
