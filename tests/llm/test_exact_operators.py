@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tallyframe.llm import decontam, mixing, sharding, simhash, token_counts, token_store, topk, url_filter
+from tallyframe.llm import decontam, mixing, near_copies, sharding, simhash, token_counts, token_store, topk, url_filter
 from tallyframe.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 
 LONG = "Wort wört " * 20_000
@@ -234,6 +234,66 @@ def test_keep_one_of_shared_ids(spark):
     assert simhash.keep_one(hot).count() == 40
 
 
+# ------------------------------------------------------------------------------- near copies
+
+
+def brute_near(texts):
+    """Pairs of texts by five-word similarity of 0.8 or more, all pairs compared."""
+    sets = []
+    for t in texts:
+        w = t.encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    homes = {}
+    for i, s in enumerate(sets):
+        for x in s or {()}:
+            homes.setdefault(x, []).append(i)
+    shared = {p for g in homes.values() for k, a in enumerate(g) for p in ((a, b) for b in g[k + 1 :])}
+    return [(a, b) for a, b in shared if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+
+
+def test_near_copies_equal_brute_force(spark, sf_dir):
+    rng = np.random.default_rng(5)
+    texts = {r.text or "" for r in table(spark, sf_dir, "documents").collect()}
+    for k in range(60):  # edited copies about the limit, and a chain of them
+        base = [f"{k}w{i}" for i in range(120)]
+        for _ in range(4):
+            texts.add(" ".join(base))
+            base = list(base)
+            for at in rng.choice(120, 1 + k % 3, replace=False):
+                base[at] = f"x{rng.integers(10**9)}"
+    texts = sorted({*texts, "", " \t", "one two three", "ONE two  three"})
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    pairs = brute_near(texts)
+    for a, b in pairs:
+        parent[find(a)] = find(b)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = {r.doc_id: r.h for r in docs.select("doc_id", simhash.text_key().alias("h")).collect()}
+    got = {r.h: r.root for r in near_copies.roots(docs).collect()}
+    assert sorted(got) == sorted(set(keys.values()))
+    mine = [got[keys[i]] for i in range(len(texts))]
+    groups = {}
+    for i, root in enumerate(mine):
+        groups.setdefault(root, set()).add(find(i))
+    assert all(len(g) == 1 for g in groups.values())  # no link that brute force does not have
+    assert len(pairs) > 100 and sum(mine[a] == mine[b] for a, b in pairs) >= 0.99 * len(pairs)
+
+
+def test_pipeline_drops_edited_copies(spark, sf_dir):
+    from corpus_pipeline import near_duplicates
+
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base[:at] + ["edited"] + base[at + 1 :]) for at in (20, 70, 150, 220)] + [" ".join(f"v{i}" for i in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_duplicates(spark, docs, sf_dir).collect()) == [0, 4]
+    assert near_duplicates(spark, docs.limit(0), sf_dir).count() == 0
+
+
 # ------------------------------------------------------------------------------- decontamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
