@@ -327,23 +327,31 @@ def io_delimited_round_trip(spark, d):
     return read_delimited(spark, path)
 
 
-@query("SELECT CAST(doc_id AS INTEGER) AS doc_id, text, lang FROM documents WHERE doc_id % 10 = 3")
-def io_delimited_quotes_strict(spark, d):
+def _documents_strict(spark, d) -> DataFrame:
     path = _path(spark, "documents.tsv")
-    write_delimited(table(spark, d, "documents").filter("doc_id % 10 = 3").select("doc_id", "text", "lang"), path, delimiter="tab", order=["doc_id"])
+    write_delimited(table(spark, d, "documents").select("doc_id", "text", "lang"), path, delimiter="tab", order=["doc_id"])
     return read_delimited(spark, path, delimiter="tab", bindquotes="strict", stringcols=[2])
 
 
-@query("SELECT CAST(o_orderkey AS INTEGER) AS v1, round(o_totalprice, 2) AS v2 FROM orders WHERE o_orderkey BETWEEN 10 AND 40")
-def io_delimited_european(spark, d):
+@query("SELECT CAST(doc_id AS INTEGER) AS doc_id, text, lang FROM documents WHERE doc_id % 10 = 3")
+def io_delimited_quotes_strict(spark, d):
+    return _documents_strict(spark, d).filter("doc_id % 10 = 3")
+
+
+def _orders_european(spark, d) -> DataFrame:
     path = _path(spark, "orders.csv")
-    rows = table(spark, d, "orders").filter("o_orderkey between 10 and 40")
+    rows = table(spark, d, "orders")
     text = F.translate(F.format_number("o_totalprice", 2), ",.", ".,")
     write_delimited(rows.select("o_orderkey", text.alias("price")), path, delimiter=";", novarnames=True, quote=True, order=["o_orderkey"])
     out = read_delimited(spark, path, varnames=None, locale="de_DE")
     return out.select(F.col("v1").cast("int").alias("v1"), "v2")
 
 
+@query("SELECT CAST(o_orderkey AS INTEGER) AS v1, round(o_totalprice, 2) AS v2 FROM orders WHERE o_orderkey BETWEEN 10 AND 40")
+def io_delimited_european(spark, d):
+    return _orders_european(spark, d).filter("v1 between 10 and 40")
+
+
 @query("SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, n_name FROM nation WHERE n_nationkey BETWEEN 3 AND 9")
 def io_delimited_ranges(spark, d):
     path = _path(spark, "nation.csv")
@@ -359,17 +367,21 @@ def io_delimited_labels(spark, d):
     return read_delimited(spark, path)
 
 
-@query("SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority FROM orders WHERE o_orderkey < 200")
-def io_xlsx_round_trip(spark, d):
+def _orders_workbook(spark, d) -> DataFrame:
     path = _path(spark, "orders.xlsx")
-    rows = table(spark, d, "orders").filter("o_orderkey < 200").select("o_orderkey", "o_totalprice", F.to_date("o_orderdate").alias("day"), "o_orderpriority")
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.to_date("o_orderdate").alias("day"), "o_orderpriority")
     write_xlsx(rows, path, order=["o_orderkey"])
     return read_xlsx(spark, path, firstrow=True).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+@query("SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority FROM orders WHERE o_orderkey < 200")
+def io_xlsx_round_trip(spark, d):
+    return _orders_workbook(spark, d).filter("o_orderkey < 200")
+
+
 @query("SELECT CAST(s_suppkey AS INTEGER) AS \"B\", s_name AS \"C\" FROM supplier WHERE s_suppkey BETWEEN 2 AND 5")
 def io_xlsx_range(spark, d):
     path = _path(spark, "supplier.xlsx")
-    write_xlsx(table(spark, d, "supplier").select("s_suppkey", "s_name").filter("s_suppkey < 20"), path, cell="B3", firstrow=None, order=["s_suppkey"])
+    write_xlsx(table(spark, d, "supplier").select("s_suppkey", "s_name"), path, cell="B3", firstrow=None, order=["s_suppkey"])
     low = table(spark, d, "supplier").filter("s_suppkey < 2").count()
     return read_xlsx(spark, path, cellrange=f"B{3 + low}:C{6 + low}")
