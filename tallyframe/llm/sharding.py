@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_right
 from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -13,6 +14,8 @@ from ._common import staged, with_small
 
 CHUNK_BITS = 16
 FETCH_ROWS = 200_000
+#: Spans of keys that are sent to all executors; more are joined by shuffle.
+SENT_SPANS = 100_000
 
 
 class Ladder:
@@ -65,6 +68,23 @@ class Ladder:
         return sorted(out)
 
 
+def within(groups: DataFrame, spans: list[tuple[int, int]]) -> DataFrame:
+    """The ``groups`` whose key lies in one of the disjoint ``spans`` (first key, last key).
+
+    The spans are a table made from one literal, cut at chunk borders, and joined by chunk: the plan is
+    the same for any number of them.
+    """
+    shift, parts = 64 - CHUNK_BITS, []
+    for a, b in spans:
+        for chunk in range(a >> shift, (b >> shift) + 1):
+            parts.append({"chunk": chunk, "a": max(a, chunk << shift), "b": min(b, (chunk + 1 << shift) - 1)})
+    made = F.from_json(F.lit(json.dumps(parts)), "array<struct<chunk: bigint, a: bigint, b: bigint>>")
+    wanted = groups.sparkSession.range(1).select(F.inline(made))
+    keyed = groups.withColumn("chunk", F.shiftright("key", shift))
+    match = (keyed["chunk"] == wanted["chunk"]) & keyed["key"].between(wanted["a"], wanted["b"])
+    return keyed.join(F.broadcast(wanted) if len(parts) <= SENT_SPANS else wanted, match, "left_semi").drop("chunk")
+
+
 def smallest_capacity(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
     """The smallest feasible shard capacity over groups (key, bytes) in key order, and the first
     key of every shard after the first.
@@ -83,19 +103,10 @@ def smallest_capacity(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
         lo, hi = ladder.bracket(shards)
         if hi - lo <= 1:
             break
-        split = ladder.unsure(lo, hi, shards)
-        spans: list[list[int]] = []
-        for k in split:  # neighbouring runs are asked for as one range
-            a, b = ladder.runs[k][:2]
-            if spans and split[split.index(k) - 1] == k - 1:
-                spans[-1][1] = b
-            else:
-                spans.append([a, b])
-        where = F.lit(False)
-        for a, b in spans:
-            where = where | F.col("key").between(a, b)
+        split = set(ladder.unsure(lo, hi, shards))
         bits = 64 if sum(ladder.runs[k][3] for k in split) <= FETCH_ROWS else min(64, bits + 8)
-        ladder = Ladder([r for k, r in enumerate(ladder.runs) if k not in set(split)] + fetch(groups.filter(where), bits))
+        parts = fetch(within(groups, [ladder.runs[k][:2] for k in sorted(split)]), bits)
+        ladder = Ladder([r for k, r in enumerate(ladder.runs) if k not in split] + parts)
     cuts, firsts = ladder.low(hi, shards), []
     for at in cuts[:-1]:
         i = bisect_right(ladder.prefix, at) - 1
@@ -104,6 +115,14 @@ def smallest_capacity(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
     return hi, firsts
 
 
+def place(key: Column, firsts: list[int], base: int = 0) -> Column:
+    """``base`` and the number of the ascending ``firsts`` that are at most ``key``, by halving."""
+    if not firsts:
+        return F.lit(base)
+    mid = len(firsts) // 2
+    return F.when(key < firsts[mid], place(key, firsts[:mid], base)).otherwise(place(key, firsts[mid + 1 :], base + mid + 1))
+
+
 def shard_rows(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
     """Put every row of ``docs`` (doc_id, text) into one of ``shards`` shards of near-equal bytes.
 
@@ -130,7 +149,7 @@ def shard_rows(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFra
     rest = groups.filter(~F.col("key").isin(alone)) if alone else groups
     _, firsts = smallest_capacity(rest, left) if total else (0, [])
 
-    shard = sum((F.when(F.col("key") >= k, 1).otherwise(0) for k in firsts), F.lit(0)) + len(alone)
+    shard = place(F.col("key"), firsts, len(alone))
     for i, k in enumerate(alone):
         shard = F.when(F.col("key") == k, i).otherwise(shard)
 

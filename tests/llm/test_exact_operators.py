@@ -395,6 +395,24 @@ def test_smallest_capacity(spark, monkeypatch, fetch):
         assert max(sizes[a:b].sum() for a, b in zip(cuts, cuts[1:])) <= capacity
 
 
+def test_capacity_with_many_uncertain_runs(spark, monkeypatch):
+    """The plan stays the same for tens of thousands of runs that cuts may fall in."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(sharding, "FETCH_ROWS", 1_000)
+    asked = []
+    within = sharding.within
+    monkeypatch.setattr(sharding, "within", lambda groups, spans: asked.append(len(spans)) or within(groups, spans))
+    groups = spark.range(150_000).select(F.xxhash64("id").alias("key"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5_000)) + 17).alias("bytes")).cache()
+    rows = sorted((r.key, r.bytes) for r in groups.collect())
+    capacity, firsts = sharding.smallest_capacity(groups, 400)
+    assert max(asked) > 20_000
+    assert capacity == brute_capacity([b for _, b in rows], 400)
+    placed = groups.select(sharding.place(F.col("key"), firsts).alias("shard"), "bytes").groupBy("shard").sum("bytes").collect()
+    assert len(firsts) == 399 and max(r[1] for r in placed) <= capacity
+    groups.unpersist()
+
+
 def test_word_count(spark, docs):
     got = {(r.doc_id, r.text): r.c for r in docs.select("doc_id", "text", mixing.word_count(docs["text"]).alias("c")).collect()}
     for (_, t), c in got.items():
