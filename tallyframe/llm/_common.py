@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,17 @@ def kept(key, make):
     return _KEPT[key]
 
 
+def trimmed() -> None:
+    """Give memory that this Python worker no longer needs back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch, sizes, most: int):
     """Cut an Arrow batch into runs of rows of about ``most`` in total size (a larger row stands alone)."""
     start, total = 0, 0

@@ -38,18 +38,23 @@ class Splitter:
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.load(open(path, encoding="utf-8"))
-        self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
+        for t in spec["added_tokens"]:
+            if not t["content"] or t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]:
+                raise ValueError(f"the added token {t['content']!r} is not matched as it stands in a raw text")
+        #: By the name that :meth:`tokens` gives them, which no word of a text has.
+        self.specials = {"\1" + t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special_texts = sorted((s[1:] for s in self.specials), key=len, reverse=True)
+        self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.special_texts)) + ")") if self.specials else None
         self.characters = byte_characters()
         self.bytes = {c: b for b, c in self.characters.items()}
 
     def tokens(self, text: str) -> list[str]:
         """Strings that no pre-token crosses: what stands between white space in plain texts; in others
-        the pre-tokens themselves, after a zero byte; and special strings."""
-        if self.special_pattern is not None and "<|" in text and self.special_pattern.search(text):
+        the pre-tokens themselves, after a zero byte; and special strings, after a byte of one."""
+        if any(map(text.__contains__, self.special_texts)):
             out: list[str] = []
             for i, part in enumerate(self.special_pattern.split(text)):
-                out += [part] if i % 2 else self.tokens(part)
+                out += ["\1" + part] if i % 2 else self.tokens(part)
             return out
         if not _PLAIN.search(text):
             return text.lower().split()
@@ -61,6 +66,43 @@ class Splitter:
         return [token[1:]] if token[0] == "\0" else _PIECE.findall(token)
 
 
+def plain_tokens(texts, split: Splitter):
+    """:meth:`Splitter.tokens` of an Arrow column of texts, as lists of strings, some of them empty.
+
+    Plain texts are lower-cased and split as a column; the others go one by one.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    odd = pc.match_substring_regex(texts, _PLAIN.pattern)
+    for s in split.special_texts:
+        odd = pc.or_(odd, pc.match_substring(texts, s))
+    low = pc.utf8_lower(pc.if_else(odd, "", texts))
+    for space in "\x85\xa0":
+        low = pc.replace_substring(low, space, " ")
+    out = pc.ascii_split_whitespace(low)
+    rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+    if not len(rows):
+        return out
+    own = pa.array([split.tokens(t) for t in texts.take(pa.array(rows)).to_pylist()], out.type)
+    at = np.arange(len(texts))
+    at[rows] = len(texts) + np.arange(len(rows))
+    return pa.concat_arrays([out, own]).take(pa.array(at))
+
+
+def plain_pieces(tokens: list[str]):
+    """The pre-tokens of tokens of plain texts, as an Arrow column of lists, some strings empty.
+
+    Letters stay together; what is not a letter is set apart by spaces.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    apart = pc.replace_substring_regex(pa.array(tokens, pa.large_string()), r"('s|'t|'re|'ve|'m|'ll|'d|\pN|[^\pL\pN]+)", r" \1 ")
+    return pc.ascii_split_whitespace(apart)
+
+
 class Merges:
     """Byte-pair merges as arrays: pair keys in order, their ranks and results, and symbols of bytes."""
 

@@ -1,18 +1,21 @@
 """Binary token-id shards with a minimal perfect hash index.
 
 A store is a table of segments, in ascending key order. Each segment is one row: ``part`` and
-``seq`` (its place), ``n_docs``, ``n_ids``, ``first_key``, ``last_key`` and two byte strings.
+``seq`` (its place), ``n_docs``, ``n_ids``, ``first_key``, ``last_key``, ``keys`` (the keys of its
+documents in order: the manifest that a whole scan asks for) and two byte strings.
 
 ``payload``: the ids of the segment's documents one after another, unsigned 32-bit little-endian.
 
-``head``, all little-endian: magic ``TFS1``; uint32 n_docs, n_keys, n_levels; uint32 bits of each
-level; int64 keys of the documents in order (0 for null); uint8 1 for each null key; uint64
-offsets (n_docs + 1) into the payload, in ids; the levels' bit arrays, packed, each a whole
-number of bytes; uint32 fingerprints and uint32 document numbers, one for each of n_keys slots.
+``head``, all little-endian: magic ``TFS2``; uint32 n_keys, n_entries (one more than n_keys if
+documents without a key follow), n_inner, n_levels; uint32 bits of each level; the levels' bit
+arrays, packed, each a whole number of bytes; uint32 fingerprints, one for each key; and for each
+entry uint64 start and end in the payload, in ids, and uint32 number of documents; uint64 ends of
+all documents but the last of each entry, entry by entry.
 
 The index is a minimal perfect hash of levels: a key sits in the first level in which its bit is
-set, and its slot is the number of set bits before that bit. A stored fingerprint tells keys that
-are not there. Segments are rows of Parquet files, so any store that Spark writes to holds them
+set, and its slot, which is its entry, is the number of set bits before that bit. The head holds no
+keys: a stored fingerprint tells keys that are not there, and the entry is the only way to a
+document's offset. Segments are rows of Parquet files, so any store that Spark writes to holds them
 and its commit protocol covers lost executors.
 """
 
@@ -20,21 +23,21 @@ from __future__ import annotations
 
 import struct
 import zlib
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import kept, shipped, slices, staged
-from .token_counts import splitter
+from ._common import kept, shipped, slices, staged, trimmed
+from .token_counts import plain_pieces, plain_tokens, splitter
 
-MAGIC = b"TFS1"
+MAGIC = b"TFS2"
 LEVEL_ROOM = 2.0
 SEGMENT_IDS = 1_000_000
 #: Tokens, and pre-tokens, that a Python worker keeps.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 
 
 def key_hash(keys: np.ndarray, level: int) -> np.ndarray:
@@ -82,72 +85,80 @@ class PerfectHash:
 
 
 class Segment:
-    """One segment, read from its bytes."""
+    """The index of one segment and its payload, read from their bytes."""
 
     def __init__(self, head: bytes, payload: bytes):
-        if head[:4] != MAGIC:
+        if bytes(memoryview(head)[:4]) != MAGIC:
             raise ValueError("not a token segment")
-        n, k, levels = struct.unpack_from("<3I", head, 4)
-        at = 16
+        n, entries, inner, levels = struct.unpack_from("<4I", head, 4)
+        at = 20
         widths = np.frombuffer(head, "<u4", levels, at)
         at += 4 * levels
-        self.keys = np.frombuffer(head, "<i8", n, at)
-        at += 8 * n
-        self.null = np.frombuffer(head, np.uint8, n, at).astype(bool)
-        at += n
-        self.offsets = np.frombuffer(head, "<u8", n + 1, at).astype(np.int64)
-        at += 8 * (n + 1)
         bits = []
         for m in widths.tolist():
             size = -(-m // 8)
             bits.append(np.unpackbits(np.frombuffer(head, np.uint8, size, at), count=m, bitorder="little").astype(bool))
             at += size
-        self.hash = PerfectHash(bits)
-        self.fingerprints = np.frombuffer(head, "<u4", k, at)
-        self.numbers = np.frombuffer(head, "<u4", k, at + 4 * k)
+        self.hash, self.nameless = PerfectHash(bits), n if entries > n else -1
+        self.fingerprints = np.frombuffer(head, "<u4", n, at)
+        at += 4 * n
+        self.start = np.frombuffer(head, "<u8", entries, at).astype(np.int64)
+        self.end = np.frombuffer(head, "<u8", entries, at + 8 * entries).astype(np.int64)
+        self.docs = np.frombuffer(head, "<u4", entries, at + 16 * entries).astype(np.int64)
+        self.inner = np.frombuffer(head, "<u8", inner, at + 20 * entries).astype(np.int64)
+        self.inner_from = np.cumsum(self.docs - 1) - self.docs + 1
         self.payload = payload
 
     @staticmethod
-    def pack(keys: list, ids: list[np.ndarray]) -> tuple[bytes, bytes]:
-        """Head and payload; ``ids`` has the same number of arrays, one or more, for each key."""
-        each = len(ids) // max(len(keys), 1)
-        null = np.array([k is None for k in keys], np.uint8)
-        values = np.array([0 if k is None else k for k in keys], np.int64)
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])[each - 1 :: each] if each else []]).astype("<u8")
-        numbered = np.flatnonzero(null == 0)
-        distinct, first = np.unique(values[numbered], return_index=True)
+    def pack(keys: np.ndarray, nameless: int, ends: np.ndarray) -> bytes:
+        """The head over ascending ``keys`` and then ``nameless`` documents without one; ``ends`` of all in the payload."""
+        distinct, first, count = np.unique(keys, return_index=True, return_counts=True)
         mph = PerfectHash.build(distinct)
         slots = mph.slots(distinct)
-        prints, numbers = np.zeros(len(distinct), "<u4"), np.zeros(len(distinct), "<u4")
-        prints[slots], numbers[slots] = fingerprint(distinct), numbered[first]
-        head = MAGIC + struct.pack("<3I", len(keys), len(distinct), len(mph.levels)) + np.array([len(b) for b in mph.levels], "<u4").tobytes()
-        head += values.astype("<i8").tobytes() + null.tobytes() + offsets.tobytes()
-        head += b"".join(np.packbits(b, bitorder="little").tobytes() for b in mph.levels) + prints.tobytes() + numbers.tobytes()
-        return head, (np.concatenate(ids).astype("<u4").tobytes() if ids else b"")
-
-    def number(self, keys: np.ndarray) -> np.ndarray:
-        """The number of the first document of each key in this segment; -1 if there is none."""
+        by_slot = np.argsort(slots)
+        first, count = first[by_slot], count[by_slot]
+        if nameless:
+            first, count = np.append(first, len(keys)), np.append(count, nameless)
+        starts = np.append(0, ends)[:-1]
+        spots = np.repeat(first - np.cumsum(count - 1) + count - 1, count - 1) + np.arange(int((count - 1).sum()))
+        head = MAGIC + struct.pack("<4I", len(distinct), len(first), len(spots), len(mph.levels)) + np.array([len(b) for b in mph.levels], "<u4").tobytes()
+        head += b"".join(np.packbits(b, bitorder="little").tobytes() for b in mph.levels) + fingerprint(distinct[by_slot]).astype("<u4").tobytes()
+        return head + starts[first].astype("<u8").tobytes() + ends[first + count - 1].astype("<u8").tobytes() + count.astype("<u4").tobytes() + ends[spots].astype("<u8").tobytes()
+
+    def entries(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key: its slot, if the fingerprint there is the key's; -1 if not."""
         slot = self.hash.slots(keys)
         ok = slot >= 0
         ok[ok] = self.fingerprints[slot[ok]] == fingerprint(keys[ok])
-        out = np.full(len(keys), -1, np.int64)
-        out[ok] = self.numbers[slot[ok]]
-        ok[ok] = self.keys[out[ok]] == keys[ok]
-        return np.where(ok, out, -1)
+        return np.where(ok, slot, -1)
 
-    def raw(self, number: int) -> memoryview:
-        return memoryview(self.payload)[4 * self.offsets[number] : 4 * self.offsets[number + 1]]
+    def spans(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the documents of the entries stand in the payload, in ids, all those of an entry one after another."""
+        n = self.docs[entry]
+        nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        entry = np.repeat(entry, n)
+        inner = np.append(self.inner, 0)
+        at = self.inner_from[entry] + nth
+        start = np.where(nth == 0, self.start[entry], inner[np.minimum(at - 1, len(self.inner))])
+        return start, np.where(nth == self.docs[entry] - 1, self.end[entry], inner[np.minimum(at, len(self.inner))])
+
+    def raw(self, start: int, end: int) -> memoryview:
+        return memoryview(self.payload)[4 * start : 4 * end]
 
     def ids(self, key: int) -> np.ndarray | None:
-        """The token ids of a key, by the index."""
-        at = int(self.number(np.array([key], np.int64))[0])
-        return None if at < 0 else np.frombuffer(self.raw(at), "<u4")
+        """The token ids of the first document of a key, by the index."""
+        entry = self.entries(np.array([key], np.int64))
+        if entry[0] < 0:
+            return None
+        start, end = self.spans(entry)
+        return np.frombuffer(self.raw(start[0], end[0]), "<u4")
 
 
 class Encoder:
     """Ids of whole texts by the tokenizer's own model, which is asked once for each distinct token.
 
-    The ids of all tokens seen stand in one pool; texts are gathered from it by token number.
+    Texts are split and their tokens numbered column by column. The ids of the tokens seen stand in
+    one pool; texts are gathered from it by token number.
     """
 
     def __init__(self, path: str):
@@ -158,44 +169,56 @@ class Encoder:
         self.shown = str.maketrans({chr(b): c for b, c in self.split.characters.items()})
         self.space = self.split.characters[0x20]
         specials = self.split.specials
-        self.number = {t: i for i, t in enumerate(specials)}
-        self.tokens = Pool([[i] for i in specials.values()])
-        self.piece_number: dict[str, int] = {}
-        self.pieces = Pool([])
+        self.number = {t: i for i, t in enumerate([*specials, ""])}
+        self.tokens = Pool([*([i] for i in specials.values()), []])
+        self.piece_number = {"": 0}
+        self.pieces = Pool([[]])
 
     def learn(self, new: list[str]) -> None:
-        parts = [self.split.pieces(t) for t in new]
-        unseen = list({p for part in parts for p in part} - self.piece_number.keys())
+        """Put the ids of new tokens into the pool: their pre-tokens are looked up, unseen ones encoded by the model."""
+        plain = [t for t in new if t[0] != "\0"]
+        ready = [t for t in new if t[0] == "\0"]
+        codes, names, counts = numbered(plain_pieces(plain))
+        if ready:
+            codes = np.append(codes, len(names) + np.arange(len(ready)))
+            names, counts = [*names, *(t[1:] for t in ready)], np.append(counts, np.ones(len(ready), np.int64))
+        unseen = list(dict.fromkeys(p for p in names if p not in self.piece_number))
         if unseen:
             # No piece holds a space, so one translation serves them all.
             shown = " ".join(unseen).encode().decode("latin-1").translate(self.shown).split(self.space)
-            first = len(self.piece_number)
-            self.piece_number.update(zip(unseen, range(first, first + len(unseen)), strict=True))
+            self.piece_number.update(zip(unseen, range(len(self.piece_number), len(self.piece_number) + len(unseen)), strict=True))
             self.pieces.add([e.ids for e in self.model.encode_batch_fast(shown, add_special_tokens=False)])
-        which = np.fromiter(map(self.piece_number.__getitem__, chain.from_iterable(parts)), np.int64)
-        owner = np.repeat(np.arange(len(new)), np.fromiter(map(len, parts), np.int64, len(parts)))
-        first = len(self.number)
-        self.number.update(zip(new, range(first, first + len(new)), strict=True))
+        which = np.fromiter(map(self.piece_number.__getitem__, names), np.int64, len(names))[codes]
+        self.number.update(zip(chain(plain, ready), range(len(self.number), len(self.number) + len(new)), strict=True))
         ids, ends = self.pieces.gather(which)
-        self.tokens.add_flat(ids, np.bincount(owner, weights=self.pieces.size[which], minlength=len(new)).astype(np.int64))
+        self.tokens.add_flat(ids, np.diff(np.append(0, ends)[np.append(0, np.cumsum(counts))]))
         if len(self.piece_number) > REMEMBERED:
             for p in unseen:
                 del self.piece_number[p]
             self.pieces.cut(len(self.piece_number))
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and where each text's ids start (one more entry ends the last)."""
-        tokens = [self.split.tokens(t) for t in texts]
-        new = list(set().union(*tokens) - self.number.keys())
-        self.learn(new)
-        counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        which = np.fromiter(map(self.number.__getitem__, chain.from_iterable(tokens)), np.int64, int(counts.sum()))
-        ids, ends = self.tokens.gather(which)
+    def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an Arrow column of texts one after another, and where each text's ids end."""
+        codes, names, counts = numbered(plain_tokens(texts, self.split))
+        known = np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
+        new = [names[i] for i in np.flatnonzero(known < 0)]
+        if new:
+            self.learn(new)
+            known[known < 0] = np.fromiter(map(self.number.__getitem__, new), np.int64, len(new))
+        ids, ends = self.tokens.gather(known[codes])
         if len(self.number) > REMEMBERED:  # the first tokens stay; these were for this call
             for t in new:
                 del self.number[t]
             self.tokens.cut(len(self.number))
-        return ids, np.append(0, ends)[np.append(0, np.cumsum(counts))]
+        return ids, np.append(0, ends)[np.cumsum(counts)]
+
+
+def numbered(lists) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Of an Arrow column of lists of strings: the number of each string, the distinct strings, the length of each list."""
+    import pyarrow.compute as pc
+
+    coded = lists.flatten().dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist(), pc.list_value_length(lists).to_numpy().astype(np.int64)
 
 
 class Pool:
@@ -225,7 +248,7 @@ class Pool:
         return self.ids[at], ends
 
 
-def write_tokens(docs: DataFrame, path: str, end_id: int = 1, segment_ids: int = SEGMENT_IDS, slice_bytes: int = 1_000_000) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, end_id: int = 1, segment_ids: int = SEGMENT_IDS, slice_bytes: int = 4_000_000) -> DataFrame:
     """Encode every whole text of ``docs`` (doc_id, text), append ``end_id`` and write the segments.
 
     Documents stand in ascending doc_id order, null last; equal doc_ids by a hash of the text.
@@ -237,28 +260,38 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 1, segment_ids: int =
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        encode, keys, ids, held = kept(("encoder", path), lambda: Encoder(path)), [], [], 0
-        end = np.array([end_id], np.uint32)
+        encode = kept(("encoder", path), lambda: Encoder(path))
+        keys, ids, ends, held = [], [], [], 0
 
         def segment():
-            head, payload = Segment.pack(keys, ids)
-            have = [k for k in keys if k is not None]
-            columns = [part, seq, len(keys), held, min(have, default=None), max(have, default=None)]
+            own, sizes = pa.concat_arrays(keys), np.concatenate(ends)
+            named = own.drop_null().to_numpy()
+            head = Segment.pack(named, own.null_count, np.cumsum(sizes))
+            payload = np.concatenate(ids).astype("<u4", copy=False).tobytes()
+            columns = [part, seq, len(own), held, int(named[0]) if len(named) else None, int(named[-1]) if len(named) else None]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(columns, kinds, strict=True)] + [pa.array([head], pa.binary()), pa.array([payload], pa.binary())], NAMES)
+            own = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(columns, kinds, strict=True)] + [own, pa.array([head], pa.binary()), pa.array([payload], pa.binary())], NAMES)
 
         for batch in batches:
             for piece in slices(batch, batch.column(2).to_pylist(), slice_bytes):
-                flat, at = encode(piece.column(1).to_pylist())
-                for i, key in enumerate(piece.column(0).to_pylist()):
-                    keys.append(key)
-                    ids += [flat[at[i] : at[i + 1]], end]
-                    held += int(at[i + 1] - at[i]) + 1
+                flat, at = encode(piece.column(1))
+                flat = np.insert(flat, at, np.uint32(end_id))
+                at = at + np.arange(1, len(at) + 1)
+                done = begun = 0  # documents and ids of this slice that are in segments
+                while done < len(at):
+                    upto = min(int(np.searchsorted(at, begun + segment_ids - held)) + 1, len(at))
+                    keys.append(piece.column(0).slice(done, upto - done))
+                    ids.append(flat[begun : at[upto - 1]])
+                    ends.append(np.diff(at[done:upto], prepend=begun))
+                    held += int(at[upto - 1]) - begun
+                    done, begun = upto, int(at[upto - 1])
                     if held >= segment_ids:
                         yield segment()
-                        keys, ids, held, seq = [], [], 0, seq + 1
-        if keys:
+                        keys, ids, ends, held, seq = [], [], [], 0, seq + 1
+        if held:
             yield segment()
+        trimmed()
 
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.col("doc_id").cast("long")
@@ -268,8 +301,8 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 1, segment_ids: int =
     return staged(dealt.mapInArrow(run, SCHEMA), "token-segments")
 
 
-NAMES = ["part", "seq", "n_docs", "n_ids", "first_key", "last_key", "head", "payload"]
-SCHEMA = "part int, seq int, n_docs long, n_ids long, first_key long, last_key long, head binary, payload binary"
+NAMES = ["part", "seq", "n_docs", "n_ids", "first_key", "last_key", "keys", "head", "payload"]
+SCHEMA = "part int, seq int, n_docs long, n_ids long, first_key long, last_key long, keys array<long>, head binary, payload binary"
 
 
 def segment_starts(segments: DataFrame) -> DataFrame:
@@ -283,38 +316,51 @@ def segment_starts(segments: DataFrame) -> DataFrame:
 
 
 def read_tokens(segments: DataFrame) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32. Every key is looked up by the index."""
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32.
+
+    Each key of a segment's manifest goes through the index: slot, fingerprint, then its documents' places.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for part, seq, head, payload in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                s = Segment(head, payload)
-                number = s.number(s.keys)
-                wrong = ~s.null & ((number < 0) | (s.keys[number] != s.keys))
-                if wrong.any():
+            for i in range(len(batch)):
+                part, seq, manifest, head, payload = (batch.column(j)[i] for j in range(5))
+                s = Segment(head.as_buffer(), payload.as_buffer())
+                own = manifest.values
+                keys = np.unique(own.drop_null().to_numpy())
+                entry = s.entries(keys)
+                if (entry < 0).any():
                     raise ValueError(f"segment {part}.{seq}: a key is not in its index")
-                n = len(s.keys)
-                crc = [zlib.crc32(s.raw(i)) for i in range(n)]
+                if own.null_count:
+                    entry = np.append(entry, s.nameless)
+                start, end = s.spans(entry)
+                n, owner = len(start), np.repeat(np.arange(len(entry)), s.docs[entry])
+                if n != len(own):
+                    raise ValueError(f"segment {part}.{seq}: {len(own)} documents in the manifest, {n} in the index")
+                nameless = owner >= len(keys)
+                ids = pa.array(np.append(keys, 0)[owner], pa.int64(), mask=nameless)
+                crc = [zlib.crc32(s.raw(a, b)) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, seq, np.int32)), pa.array(s.keys, pa.int64(), mask=s.null), pa.array(s.offsets[:-1], pa.int64()), pa.array(np.diff(s.offsets), pa.int64()), pa.array(crc, pa.int64())],
+                    [pa.array(np.full(n, part.as_py(), np.int32)), pa.array(np.full(n, seq.as_py(), np.int32)), ids, pa.array(start), pa.array(end - start), pa.array(crc, pa.int64())],
                     ["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    rows = shipped(segments).select("part", "seq", "head", "payload").mapInArrow(run, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = shipped(segments).select("part", "seq", "keys", "head", "payload").mapInArrow(run, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
     starts = staged(segment_starts(segments.select("part", "seq", "n_ids")), "token-starts")
     starts = F.broadcast(starts) if starts.count() <= 100_000 else starts
     return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def lookup(segments: DataFrame, key: int) -> np.ndarray | None:
-    """The ids of one document: the key range finds its segment, the perfect hash its place."""
-    for row in segments.filter((F.col("first_key") <= key) & (F.col("last_key") >= key)).select("head", "payload").toLocalIterator():
-        found = Segment(bytes(row.head), bytes(row.payload)).ids(key)
-        if found is not None:
-            return found
-    return None
+    """The ids of the first document of a key.
+
+    The key range, which the file statistics answer, names the segment (segments share a key only if its
+    documents fill more than one, and then the first is taken); one hash and one fingerprint name the place.
+    """
+    row = segments.filter((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("part", "seq").select("head", "payload").first()
+    return None if row is None else Segment(bytes(row.head), bytes(row.payload)).ids(key)
 
 
 def token_digest(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyframe.llm import decontam, mixing, near_copies, sharding, simhash, token_counts, token_store, topk, url_filter
@@ -24,6 +25,7 @@ EDGE = [
     (7, "ÅNGSTRÖM Σας ΟΔΟΣ e\u0301 ½ x² 日本語 \u2019quoted\u2019 \x1c\x85\xa0end"),
     (8, "aaaa aaaaa aaaaaaa ''' ...!!! 's's"),
     (9, "İstanbul ﬁ ǅ ẞ"),
+    (10, "<|EndOfText|> is no special string, <|endoftext|>'s are\x0b\x85\xa0"),
 ]
 
 
@@ -104,6 +106,24 @@ def test_keyed_access(spark, sf_dir):
     assert token_store.lookup(segments, 10**9) is None
 
 
+def test_every_plain_character_splits_as_in_the_library():
+    t, e = library(), token_store.Encoder(tokenizer_path())
+    plain = [c for c in map(chr, range(0x3000)) if not token_counts._PLAIN.search(c)]
+    texts = [f"{a}{b}x'{a}s {b}'S {a}9{a}" for a, b in zip(plain, plain[7:] + plain[:7], strict=True)]
+    ids, ends = e(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_segment_index():
+    keys, sizes = np.array([-5, 2, 2, 2, 9]), np.array([1, 2, 0, 3, 1, 2, 4])
+    ends = np.cumsum(sizes)
+    s = token_store.Segment(token_store.Segment.pack(keys, 2, ends), np.arange(13, dtype="<u4").tobytes())
+    assert s.ids(-5).tolist() == [0] and s.ids(2).tolist() == [1, 2] and s.ids(9).tolist() == [6]
+    assert all(s.ids(k) is None for k in (-1, 0, 3, 10**12))
+    start, end = s.spans(np.append(s.entries(np.array([-5, 2, 9])), s.nameless))
+    assert end.tolist() == ends.tolist() and start.tolist() == [0, *ends[:-1].tolist()]
+
+
 def test_perfect_hash_is_minimal():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(-(2**62), 2**62, 20_000))
@@ -118,9 +138,9 @@ def test_workers_forget_late_tokens(monkeypatch):
     e, c = token_store.Encoder(tokenizer_path()), token_counts.Counter(tokenizer_path())
     for k in range(4):
         texts = [f"word{k}{i} other{i % 3} thing, thing." for i in range(30)]
-        ids, at = e(texts)
+        ids, ends = e(pa.array(texts))
         want = [t.encode(x, add_special_tokens=False).ids for x in texts]
-        assert [ids[at[i] : at[i + 1]].tolist() for i in range(30)] == want
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
         assert c(texts) == [len(w) for w in want]
 
 
