@@ -95,25 +95,27 @@ def word_spans(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[n
 
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each byte span: eight bytes at a time, all spans side by side."""
-    n = end - begin
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, which: int = 0, part: int = 32_768) -> np.ndarray:
+    """A 64-bit hash of each byte span: eight bytes at a time, ``part`` spans side by side."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    h = n.astype(np.uint64) * _MIX[which] + np.uint64(0x27D4EB2F165667C5 + which)
-    todo, at = np.arange(len(begin)), begin.astype(np.int64)
-    left = n.astype(np.int64)
-    shifts = np.arange(8, dtype=np.uint64) * np.uint64(8)
-    while len(todo):
-        block = padded[at[:, None] + np.arange(8)].astype(np.uint64)
-        keep = np.arange(8) < left[:, None]
-        word = ((block * keep) << shifts).sum(axis=1, dtype=np.uint64)
-        x = (h[todo] ^ word) * _MIX[which]
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(32)
-        h[todo] = x
-        more = left > 8
-        todo, at, left = todo[more], at[more] + 8, left[more] - 8
-    return h
+    # The eight bytes from every offset on, as one little-endian number.
+    window = np.lib.stride_tricks.as_strided(padded[: max(len(padded) - 7, 0)].view(), (max(len(padded) - 7, 0), 8), (1, 1))
+    out = np.empty(len(begin), np.uint64)
+    for i in range(0, len(begin), part):
+        at, left = begin[i : i + part].astype(np.int64), (end[i : i + part] - begin[i : i + part]).astype(np.int64)
+        h = left.astype(np.uint64) * _MIX[which] + np.uint64(0x27D4EB2F165667C5 + which)
+        todo = np.arange(len(at))
+        while len(todo):
+            word = window[at].view("<u8").reshape(-1)
+            x = (h[todo] ^ (word & _LOW_BYTES[np.minimum(left, 8)])) * _MIX[which]
+            x ^= x >> np.uint64(29)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(32)
+            h[todo] = x
+            more = left > 8
+            todo, at, left = todo[more], at[more] + 8, left[more] - 8
+        out[i : i + part] = h
+    return out

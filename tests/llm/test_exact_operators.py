@@ -355,9 +355,9 @@ def test_contamination_edges(spark, docs, none, monkeypatch):
     want = brute_contamination(rows, ITEMS)
     got = lambda: sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.contamination(short, items).collect())
     assert got() == want
-    monkeypatch.setattr(decontam, "ITEMS_PER_PASS", 3)
-    monkeypatch.setattr(decontam.benchmark_parts, "__defaults__", (3,))
-    assert got() == want
+    for name, value in (("PART_ITEMS", 3), ("PART_BYTES", 30), ("SEGMENT_WORDS", 40), ("FOLLOWED", 2)):
+        monkeypatch.setattr(decontam, name, value)
+        assert got() == want
     assert decontam.contamination(none, items).count() == 0
     assert {r.n_hit for r in decontam.contamination(short, items.limit(0)).collect()} == {0}
 
@@ -368,6 +368,31 @@ def test_proximity(spark):
     assert [(r.doc_id, r.item_id) for r in decontam.find_near(rows, items, slack=3).collect()] == [(1, "1")]
 
 
+def test_index_holds_all_postings(spark):
+    rows = [(7, "b a b A"), (None, None), (8, "c!"), (7, "a")]
+    index = decontam.build_index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert len(index) == 1 and index[0].docs == [7, None, 8, 7]
+    assert np.frombuffer(index[0].n_words, "<u4").tolist() == [4, 0, 1, 1]
+    ends, places = np.frombuffer(index[0].ends, "<u4"), np.frombuffer(index[0].places, "<u4")
+    assert sorted(x.tolist() for x in np.split(places, ends[:-1])) == [[0, 2], [1, 3, 8], [6]]
+
+
+def test_near_equals_brute_force(spark):
+    rng = np.random.default_rng(9)
+    text = lambda n: " ".join(f"w{int(x)}" for x in rng.integers(0, 12, n))
+    rows, items = [(i, text(int(rng.integers(0, 40)))) for i in range(60)], [(i, text(int(rng.integers(1, 6)))) for i in range(12)]
+    want = set()
+    for d, t in rows:
+        words = t.split()
+        for i, x in items:
+            item = x.split()
+            windows = [item[k : k + 4] for k in range(max(1, len(item) - 3))]
+            if any(set(w) <= set(words[at : at + len(w) + 2]) for w in windows for at in range(len(words))):
+                want.add((d, str(i)))
+    got = decontam.find_near(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=4, slack=2)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 50
+
+
 # --------------------------------------------------------------------------------- sharding, mixing
 
 
