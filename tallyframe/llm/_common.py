@@ -19,6 +19,14 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return written(df, name)
 
 
+def clear_name(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def uniform(*cols: Column | str) -> Column:
     """A reproducible number in [0, 1) from the values of ``cols``."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) * F.lit(2.0**-53)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,6 +13,8 @@ from ._common import lower_ascii, shipped, slices, span_hashes, text_bytes, word
 
 #: Most labelled documents that the model is fitted on: the first by a hash of doc_id.
 TRAIN_ROWS = 8_000
+#: Most bytes of their texts; a document that would go beyond is passed over.
+TRAIN_BYTES = 64_000_000
 #: Preference pairs drawn from them.
 PAIRS = 40_000
 KNOTS = (0.1, 0.25, 0.5, 0.75, 0.9)
@@ -134,12 +137,26 @@ def held_out() -> "F.Column":
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """doc_id, text and y of at most ``most`` labelled documents that are not held out, the first by a hash of doc_id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """doc_id, text and y of labelled documents that are not held out: the first by a hash of doc_id, at most ``most``
+    of them and whole texts of at most ``most_bytes`` bytes in all. A doc_id that stands on several rows gives one text,
+    that of the smallest hash."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y is not null").filter(~held_out())
     rows = rows.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(most)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(rows), "doc_id")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    # Sizes first: the driver holds at most ``most`` rows of numbers, and no text before the bound is known.
+    sizes = texts.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("h", F.octet_length("text").alias("n"))).alias("first"))
+    sizes = sizes.select("doc_id", "y", "first.h", "first.n", F.xxhash64("doc_id", F.lit(3)).alias("at")).collect()
+    chosen, held = [], 0
+    for r in sorted(sizes, key=lambda r: (r["at"], r["doc_id"])):
+        if held + r["n"] > most_bytes:
+            continue
+        held += r["n"]
+        chosen.append({"doc_id": r["doc_id"], "h": r["h"], "y": r["y"]})
+    made = F.from_json(F.lit(json.dumps(chosen)), "array<struct<doc_id: bigint, h: bigint, y: int>>")
+    wanted = docs.sparkSession.range(1).select(F.inline(made))
+    return texts.join(F.broadcast(wanted), ["doc_id", "h"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "y")
 
 
 def feature_rows(rows: DataFrame, keep: str) -> DataFrame:
@@ -162,7 +179,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", t
 
     Pairs of a document labelled 1 and one labelled 0 are preferences; a logistic loss on the
     differences of their features gives the weights. The features come from the text alone. The
-    model is fitted on at most ``most`` labelled rows, none of them held out (crc32 of doc_id as
+    model is fitted on at most ``most`` labelled rows (and ``TRAIN_BYTES`` bytes of text), none of them held out (crc32 of doc_id as
     text, modulo 4, is 2).
 
     Null and empty texts have zero features and a score like any other. Null doc_ids are not held

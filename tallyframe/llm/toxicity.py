@@ -24,11 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import kept, shipped, slices
+from ._common import kept, shipped, slices, trimmed
 from .quality import held_out, labelled_sample
 
 #: Most labelled documents that the model is fitted on: the first by a hash of doc_id.
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 8_000
+#: Most units that the machine is fitted on: insult-like ones by how many sentences they tell, clean ones at random
+#: and by frequency, and in each round the clean ones with the highest margins. All units of the labelled rows are
+#: counted, and all clean ones are searched for the highest margins.
+POSITIVES, RANDOM_CLEAN, COMMON_CLEAN, WORST_CLEAN = 4_000, 4_000, 1_000, 1_500
 LANDMARKS = 384
 DECAY = 0.5
 #: Characters that a subsequence may span.
@@ -199,10 +203,10 @@ def fit(texts: list[str], y: np.ndarray, at: float, landmarks: int = LANDMARKS,
     # sentences only prefixes that toxic ones have are counted.
     seen: list[dict[str, int]] = [{}, {}]
     total = [0, 0]
-    read: set[bytes] = set()
     witness: dict[str, int] = {}
     toxic_sentences = []
-    for label in (1, 0):
+    read: set[bytes] = set()
+    for label in (1, 0):  # a sentence that texts of both labels have counts as one of a toxic text
         for text in (t for t, own in zip(texts, y.tolist(), strict=True) if own == label):
             for s in _SENTENCE.split(text):
                 mark = hashlib.blake2b(s.encode(), digest_size=8).digest()
@@ -237,14 +241,14 @@ def fit(texts: list[str], y: np.ndarray, at: float, landmarks: int = LANDMARKS,
     strong = sorted(witness, key=lambda u: (-witness[u], u))
     seen[0] = {x: c for x, c in seen[0].items() if not x.endswith("\0")}
     clean = sorted(seen[0], key=lambda u: (-seen[0][u], u))
-    some = [clean[i] for i in sorted(rng.choice(len(clean), min(len(clean), 2_500), replace=False))]
-    common = clean[:1_000]
+    some = [clean[i] for i in sorted(rng.choice(len(clean), min(len(clean), RANDOM_CLEAN), replace=False))]
+    common = clean[:COMMON_CLEAN]
     marks = strong[: landmarks * 3 // 4] + some[: landmarks // 4]
     gram = kernel(marks, marks).astype(float)
     value, vector = np.linalg.eigh(gram)
     keep = value > 1e-6 * value[-1]
     whiten = vector[:, keep] / np.sqrt(value[keep])
-    positives = sorted(strong[:2_500])
+    positives = sorted(strong[:POSITIVES])
     negatives = sorted(set(common) | set(some))
     machine = flat
     for turn in range(TURNS):
@@ -263,21 +267,20 @@ def fit(texts: list[str], y: np.ndarray, at: float, landmarks: int = LANDMARKS,
         machine = StringMachine(table, float(w[-1]), 1.0, 0.0)
         if turn < TURNS - 1:  # clean units that look most like insults become negatives
             m = machine.margins(clean)
-            worst = np.argsort(-m)[:1_500]
+            worst = np.argsort(-m)[:WORST_CLEAN]
             negatives = sorted(set(negatives) | {clean[i] for i in worst if m[i] > -0.9})
     scorer = Scorer(machine)
     score = np.concatenate([scorer(texts[i : i + 200]) for i in range(0, len(texts), 200)])
     del scorer
     order = np.unique(score)
     cuts = (order[1:] + order[:-1]) / 2 if len(order) > 1 else order
-    cuts = cuts[np.linspace(0, len(cuts) - 1, min(len(cuts), 2_000)).astype(int)]
     high = np.sort(score[y == 1])
     low = np.sort(score[y == 0])
     missed = np.searchsorted(high, cuts) / n1
     false = 1 - np.searchsorted(low, cuts) / n0
     best = n1 * missed + 3 * n0 * false
     at_best = np.flatnonzero(np.isclose(best, best.min()))
-    cut = cuts[at_best[len(at_best) // 3]]
+    cut = cuts[at_best[len(at_best) // 2]]
     slope = 4.0 / max(float(np.median(high) - np.median(low)), 1e-6)
     return StringMachine(machine.table, machine.bias, slope, float(np.log(at / (1 - at)) - slope * cut), uuid.uuid4().hex)
 
@@ -290,25 +293,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: f
     return fit(texts, y, threshold)
 
 
-def scored(docs: DataFrame, machine: StringMachine) -> DataFrame:
-    """``docs`` (text among its columns) with the column toxic_score, of every whole text, added."""
+def scored(docs: DataFrame, machine: StringMachine, name: str = "toxic_score") -> DataFrame:
+    """``docs`` (text among its columns) with the column ``name``, the score of every whole text, added."""
     machine.name = machine.name or uuid.uuid4().hex
     model = docs.sparkSession.sparkContext.broadcast(machine)
-    names = [*docs.columns, "toxic_score"]
+    names = [*docs.columns, name]
     at = docs.columns.index("text")
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         # What this worker has seen stays from task to task.
         score = kept(("toxicity", model.value.name), lambda: Scorer(model.value))
         for batch in batches:
-            for part in slices(batch, batch.column(len(names) - 1).to_pylist(), 1_000_000):
+            for part in slices(batch, pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist(), 1_000_000):
                 p = model.value.probability(score([t or "" for t in part.column(at).to_pylist()]))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p, pa.float64())], names)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], names)
+        trimmed()
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())])
-    return shipped(docs).select("*", F.coalesce(F.octet_length("text"), F.lit(0)).alias("__bytes")).mapInArrow(run, schema)
+    return shipped(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.3, most: int = TRAIN_ROWS) -> DataFrame:
