@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import shipped, slices, staged
+from ._common import clear_name, shipped, slices, staged, trimmed
 
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 RADIUS = 3
@@ -24,6 +24,8 @@ RADIUS = 3
 GENERATOR = 0b101011100011
 #: Rows of one anchor that one task compares at once; larger anchors are split into a grid.
 CELL = 20_000
+#: Names of rows (two numbers each) that are sent to all executors at once; more are joined by shuffle.
+SENT_ROWS = 1_000_000
 
 
 def syndromes(words: np.ndarray) -> np.ndarray:
@@ -83,6 +85,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
             for part in slices(batch, batch.column(2).to_pylist(), 4_000_000):
                 got = np.array([fingerprint_text(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in part.column(1)], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+        trimmed()
 
     text = F.coalesce(F.col("text"), F.lit(""))
     return shipped(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).alias("n")).mapInArrow(run, "doc_id long, fp long")
@@ -215,17 +218,28 @@ def survivors(docs: DataFrame, roots: DataFrame) -> DataFrame:
     It is the row of the smallest (doc_id, text hash), rows with a doc_id first; of rows equal in both,
     that of the smallest hash of all columns. All columns are returned.
     """
-    hashed = docs.withColumn("__h", text_key())
-    per = hashed.groupBy("__h", "doc_id").agg(F.count("*").alias("rows"))
-    first = per.groupBy("__h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__h", "rows")).alias("first"))
-    kept = first.join(roots.select(F.col("h").alias("__h"), "root"), "__h").groupBy("root").agg(F.min("first").alias("first"))
-    kept = staged(kept.select(F.col("first.doc_id").alias("__id"), F.col("first.__h").alias("__k"), F.col("first.rows").alias("__rows")), "survivors")
-    match = (F.col("__h") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    if kept.filter("__rows > 1").limit(1).count() == 0:
-        return hashed.join(kept, match, "left_semi").select(docs.columns)
-    out = hashed.join(kept.filter("__rows = 1"), match, "left_semi").select(docs.columns)
-    twice = hashed.join(kept.filter("__rows > 1"), match, "left_semi")
-    picked = twice.groupBy("__h", "doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    h = clear_name(docs.columns, "text_hash")
+    gone_id, gone_h = (clear_name([*docs.columns, h], n) for n in ("gone_id", "gone_hash"))
+    hashed = docs.withColumn(h, text_key())
+    per = staged(hashed.groupBy(F.col(h).alias("h"), F.col("doc_id").alias("id")).agg(F.count("*").alias("rows")), "survivor-rows")
+    first = per.groupBy("h").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "h", "rows")).alias("first"))
+    kept = first.join(roots, "h").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.h").alias("kept_h"), F.col("first.id").alias("kept_id"), F.col("first.rows").alias("kept_rows"))
+    kept = staged(kept, "survivors")
+    stays = (F.col("h") == F.col("kept_h")) & F.col("id").eqNullSafe(F.col("kept_id"))
+    gone = per.join(kept.filter("kept_rows = 1"), stays, "left_anti").select(F.col("h").alias(gone_h), F.col("id").alias(gone_id))
+    gone = staged(gone, "survivor-losers")
+
+    def among(rows: DataFrame, named: DataFrame, how: str) -> DataFrame:
+        # The names of rows are few beside the texts, which are not moved as long as the counted names can be sent out.
+        match = (F.col(h) == F.col(gone_h)) & F.col("doc_id").eqNullSafe(F.col(gone_id))
+        return rows.join(F.broadcast(named) if named.count() <= SENT_ROWS else named, match, how)
+
+    out = among(hashed, gone, "left_anti").select(docs.columns)
+    repeated = kept.filter("kept_rows > 1").select(F.col("kept_h").alias(gone_h), F.col("kept_id").alias(gone_id))
+    if repeated.limit(1).count() == 0:
+        return out
+    twice = among(hashed, repeated, "left_semi")
+    picked = twice.groupBy(h, "doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
     return out.unionByName(picked.select("row.*"))
 
 

@@ -102,7 +102,7 @@ def test_features_by_definition():
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline as p
     from tallyframe.llm._common import staged
-    from tallyframe.llm.simhash import fingerprint_text
+    from tallyframe.llm.near_copies import shingles, similar
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = {}
@@ -112,12 +112,12 @@ def test_pipeline_stages(spark, sf_dir):
         kept[name] = (docs.collect(), out.collect())
         docs = out
     before, after = kept["near_duplicates"]
-    fp = {r.doc_id: fingerprint_text((r.text or "").encode()) for r in before}
+    sets = {r.doc_id: shingles((r.text or "").encode(), 5) for r in before}
     left = [r.doc_id for r in after]
-    assert len(left) == len(set(left))
-    for i in fp:  # each dropped document has a smaller near-duplicate, by links
-        assert i in left or any((fp[i] ^ fp[j]).bit_count() <= 4 for j in fp if j != i)
-    assert not any((fp[a] ^ fp[b]).bit_count() <= 4 for a in left for b in left if a < b)
+    assert len(left) == len(set(left)) < len(before)
+    for i in sets.keys() - set(left):  # each dropped document has a near copy, by five-word similarity
+        assert any(similar(sets[i], sets[j], 80) for j in sets if j != i)
+    assert not any(similar(sets[a], sets[b], 80) for a in left for b in left if a < b)
     before, after = kept["mixing"]
     known = {r.doc_id for r in before}
     assert {r.doc_id for r in after} <= known
@@ -128,3 +128,69 @@ def test_pipeline_stages(spark, sf_dir):
     empty = docs.limit(0)
     for _, stage in p.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+ODD_NAMES = ["toxic_score", "text_hash", "gone_id", "row_hash", "copies", "nth", "rows", "root", "h", "size", "key", "__key", "taken"]
+
+
+def odd_rows(spark, sf_dir):
+    """Rows with null, empty, blank, huge, tied and repeated values, and columns with names that the stages use."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    item = next(r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if len((r.text or "").split()) > 20)
+    some = [r.text for r in docs.orderBy("doc_id").limit(30).collect()]
+    huge = " ".join(f"word{i * 7919 % 100_003}" for i in range(120_000))
+    rows = [(i, t, "s1") for i, t in enumerate(some)]
+    rows += [(100, None, "s1"), (101, "", None), (None, " \t\n", "s2"), (None, None, None), (102, huge, "s2"), (103, some[3], "s1"), (103, some[3], "s1"), (3, some[3], "s1")]
+    rows += [(104, item, "s2"), (None, item, None), (105, "two words", None), (105, "other text here", "s2"), (105, "two words", None), (None, "nameless row", "s1")]
+    names = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in ODD_NAMES)
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), *range(len(ODD_NAMES))) for i, t, s in rows], names), item
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    from collections import Counter
+
+    import corpus_pipeline as p
+    from tallyframe.llm import mixing, near_copies
+
+    docs, item = odd_rows(spark, sf_dir)
+    rows = docs.collect()
+    plain = lambda found: Counter((r.doc_id, r.text, r.source) for r in found)
+    whole = {c: i for i, c in enumerate(ODD_NAMES)}
+    outs = {name: stage(spark, docs, sf_dir) for name, stage in p.STAGES}
+    for name in ("toxicity", "near_duplicates", "decontamination", "mixing"):
+        assert outs[name].columns == docs.columns
+        assert all(r[c] == i for r in outs[name].collect() for c, i in whole.items()), name
+    # toxicity: the verdict of the trained machine on each text alone, row by row
+    from tallyframe.llm._common import table
+
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"), threshold=p.TOXIC)
+    bad = lambda t: machine.probability(toxicity.Scorer(machine)([t or ""]))[0] >= p.TOXIC
+    assert plain(outs["toxicity"].collect()) == Counter({k: n for k, n in plain(rows).items() if not bad(k[1])})
+    # near-duplicates: brute force over all pairs of texts
+    texts = sorted({r.text or "" for r in rows})
+    sets = [near_copies.shingles(t.encode(), 5) for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if near_copies.similar(sets[a], sets[b], 80):
+                group = [group[b] if g == group[a] else g for g in group]
+    named = dict(zip(texts, group, strict=True))
+    left = plain(outs["near_duplicates"].collect())
+    assert Counter(named[t or ""] for _, t, _ in left.elements()) == Counter(set(group)) and not left - plain(rows)
+    for (i, t, _), _ in left.items():
+        ids = [r.doc_id for r in rows if named[r.text or ""] == named[t or ""] and r.doc_id is not None]
+        assert i == (min(ids) if ids else None)
+    # decontamination: rows that hold a whole benchmark text go, others without a 13-word window stay
+    stay = plain(outs["decontamination"].collect())
+    assert not any(t == item for _, t, _ in stay)
+    assert stay == Counter({k: n for k, n in plain(rows).items() if k in stay}) and {k for k in plain(rows) if len((k[1] or "").split()) < 5} <= stay.keys()
+    # mixing: by what the mix takes of each (doc_id, source, text)
+    mixed = plain(outs["mixing"].collect())
+    taken = mixing.mix_digest(docs)
+    assert set(mixed) <= set(plain(rows)) and not any(not (t or "").split() for _, t, _ in mixed)
+    assert all(n <= 3 * plain(rows)[k] for k, n in mixed.items()) and taken.count() == len(rows)
+    assert mixed == plain(p.mixing(spark, docs.repartition(3), sf_dir).collect())
+    # token output: every row, null ids last
+    final = outs["token_output"].orderBy("start").collect()
+    assert Counter(r.doc_id for r in final) == Counter(r.doc_id for r in rows) and final[-1].doc_id is None
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(final, final[1:]))
