@@ -526,22 +526,39 @@ def test_top_products_edges(spark):
     rows += [(200 + i, [0.5] * 6, "e") for i in range(40)] + [(40, None, "e"), (60, [None] * 6, "e"), (80, [float("nan")] * 6, "e"), (None, [1.0] * 6, "e"), (100, [float("inf")] * 6, "e"), (501, [1.0, 2.0], "e"), (500, [], "e"), (7, [9.0] * 6, "e"), (20, [0.1] * 6, "e")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
     ok = [(i, np.floor(64 * np.array(v))) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    for k in (20, 500):
+    for k, per in ((20, 8192), (20, 2), (500, 8192)):
         got = {}
-        for r in topk.top_products(df, k=k, block_rows=16, least_blocks=4).collect():
+        for r in topk.top_products(df, k=k, block_rows=16, least_blocks=4, query_rows=per).collect():
             got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
         queries = {}
         for q, v in ok:
             if q % 20 == 0 and len(v):
                 queries.setdefault(q, []).append(v)
         for q, vs in queries.items():
-            if len(vs) > 1:
-                continue  # a shared id answers for each of its vectors
-            want = sorted(((-int(vs[0] @ x), i) for i, x in ok if i != q and len(x) == len(vs[0])))[:k]
+            want = sorted((-int(v @ x), i) for v in vs for i, x in ok if i != q and len(x) == len(v))[:k]
             assert [(i, s) for _, i, s in sorted(got.get(q, []))] == [(i, -s) for s, i in want]
     assert topk.top_products(df.limit(0)).count() == 0
 
 
+def test_top_products_beyond_doubles(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(int(x)) for x in rng.integers(2**21, 2**22, 5)]) for i in range(60)] + [(60, [2.0**21 + 1] * 5), (61, [2.0**21 + 1] * 5)]
+    got = {}
+    for r in topk.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=7, block_rows=16, least_blocks=4).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    whole = {i: [64 * int(x) for x in v] for i, v in rows}
+    for q in (0, 20, 40, 60):
+        want = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:7]
+        assert [(i, s) for _, i, s in sorted(got[q])] == [(i, -s) for s, i in want]
+        assert -want[0][0] > 2**53
+
+
+def test_top_products_of_many_blocks(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings")
+    few = sorted(topk.top_products(df).collect())
+    assert sorted(topk.top_products(df, block_rows=1, least_blocks=5_000, query_rows=9).collect()) == few
+
+
 # -------------------------------------------------------------------------------------------- urls
 
 URLS = [
