@@ -19,16 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Whole tables; the keys of some rows are altered so that either side has rows that the other lacks.
+_LINE_KEY = "CASE WHEN l_orderkey % 7 = 0 THEN -l_orderkey - 1 ELSE l_orderkey END"
+_ORDER_KEY = "CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey + 1000000000000 ELSE o_orderkey END"
+
+
 def _lines(spark, d) -> DataFrame:
-    return table(spark, d, "lineitem").filter("l_orderkey % 7 <> 0").select(F.col("l_orderkey").alias("k"), F.col("l_extendedprice").alias("price"))
+    return table(spark, d, "lineitem").select(F.expr(_LINE_KEY).alias("k"), F.col("l_extendedprice").alias("price"))
 
 
 def _orders(spark, d) -> DataFrame:
-    return table(spark, d, "orders").filter("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("total"))
+    return table(spark, d, "orders").select(F.expr(_ORDER_KEY).alias("k"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("total"))
 
 
-_LINES = "SELECT l_orderkey AS k, l_extendedprice AS price FROM lineitem WHERE l_orderkey % 7 <> 0"
-_ORDERS = "SELECT o_orderkey AS k, o_orderpriority AS priority, o_totalprice AS total FROM orders WHERE o_orderkey % 5 <> 0"
+_LINES = f"SELECT {_LINE_KEY} AS k, l_extendedprice AS price FROM lineitem"
+_ORDERS = f"SELECT {_ORDER_KEY} AS k, o_orderpriority AS priority, o_totalprice AS total FROM orders"
 _FULL = f"""
     FROM (SELECT *, 1 AS m FROM ({_LINES})) a FULL JOIN (SELECT *, 1 AS u FROM ({_ORDERS})) b ON a.k = b.k
 """
@@ -58,23 +63,23 @@ def merge_1_m(spark, d):
 @query("""
     SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, lang, quality, toxic,
            CASE WHEN d.doc_id IS NULL THEN 2 WHEN l.doc_id IS NULL THEN 1 ELSE 3 END AS _merge
-    FROM (SELECT doc_id, lang FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN labels l ON d.doc_id = l.doc_id
+    FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN -doc_id - 1 ELSE doc_id END AS doc_id, lang FROM documents) d FULL JOIN labels l ON d.doc_id = l.doc_id
 """)
 def merge_1_1(spark, d):
-    docs = table(spark, d, "documents").filter("doc_id % 3 <> 0").select("doc_id", "lang")
+    docs = table(spark, d, "documents").select(F.expr("CASE WHEN doc_id % 3 = 0 THEN -doc_id - 1 ELSE doc_id END").alias("doc_id"), "lang")
     return R.keyed_merge(docs, table(spark, d, "labels").select("doc_id", "quality", "toxic"), ["doc_id"], "1:1")
 
 
 @query("""
     WITH a AS (SELECT o_custkey AS k, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
-         b AS (SELECT user_id AS k, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS j, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE event_id % 4 = 0)
+         b AS (SELECT user_id AS k, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS j, count(*) OVER (PARTITION BY user_id) AS n FROM events)
     SELECT coalesce(a.k, b.k) AS k, o_orderkey, event_id, CASE WHEN a.k IS NULL THEN 2 WHEN b.k IS NULL THEN 1 ELSE 3 END AS _merge
     FROM a FULL JOIN b ON a.k = b.k
     WHERE a.k IS NULL OR b.k IS NULL OR i = j OR (i = a.n AND j > a.n) OR (j = b.n AND i > b.n)
 """)
 def merge_m_m(spark, d):
     a = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey")
-    b = table(spark, d, "events").filter("event_id % 4 = 0").select(F.col("user_id").alias("k"), "event_id")
+    b = table(spark, d, "events").select(F.col("user_id").alias("k"), "event_id")
     return R.keyed_merge(a, b, ["k"], "m:m", master_order=["o_orderkey"], using_order=["event_id"])
 
 
@@ -112,16 +117,17 @@ def _keep(classes: set[int], where: str):
 for _c, _w in (({3}, "3"), ({1, 3}, "1, 3"), ({2, 3}, "2, 3"), ({1}, "1"), ({2}, "2"), ({1, 2}, "1, 2")):
     _keep(_c, _w)
 
-_SHARED_A = "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 7 <> 0"
-_SHARED_B = "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE -o_totalprice END AS v FROM orders WHERE o_orderkey % 5 <> 0"
+_MASTER_KEY = "CASE WHEN o_orderkey % 7 = 0 THEN -o_orderkey - 1 ELSE o_orderkey END"
+_SHARED_A = f"SELECT {_MASTER_KEY} AS k, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS v FROM orders"
+_SHARED_B = f"SELECT {_ORDER_KEY} AS k, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE -o_totalprice END AS v FROM orders"
 
 
 def _shared(value: str, **options):
     def run(spark, d):
         o = table(spark, d, "orders")
         k = F.col("o_orderkey")
-        a = o.filter(k % 7 != 0).select(k.alias("k"), F.when(k % 3 == 0, None).otherwise(F.col("o_totalprice")).alias("v"))
-        b = o.filter(k % 5 != 0).select(k.alias("k"), F.when(k % 4 == 0, None).otherwise(-F.col("o_totalprice")).alias("v"))
+        a = o.select(F.expr(_MASTER_KEY).alias("k"), F.when(k % 3 == 0, None).otherwise(F.col("o_totalprice")).alias("v"))
+        b = o.select(F.expr(_ORDER_KEY).alias("k"), F.when(k % 4 == 0, None).otherwise(-F.col("o_totalprice")).alias("v"))
         return R.keyed_merge(a, b, ["k"], "1:1", **options)
 
     run.__name__ = "merge_" + ("_".join(sorted(options)) or "master_wins")
@@ -333,9 +339,28 @@ def _documents_strict(spark, d) -> DataFrame:
     return read_delimited(spark, path, delimiter="tab", bindquotes="strict", stringcols=[2])
 
 
-@query("SELECT CAST(doc_id AS INTEGER) AS doc_id, text, lang FROM documents WHERE doc_id % 10 = 3")
+@query("SELECT CAST(doc_id AS INTEGER) AS doc_id, coalesce(text, '') AS text, lang FROM documents")
 def io_delimited_quotes_strict(spark, d):
-    return _documents_strict(spark, d).filter("doc_id % 10 = 3")
+    return _documents_strict(spark, d)
+
+
+@query("SELECT CAST(c_custkey AS INTEGER) AS v1, CASE WHEN c_custkey % 100 = 0 THEN 'Café ' || c_name ELSE c_name END AS v2 FROM customer")
+def io_delimited_late_latin_byte(spark, d):
+    """The first bytes that are not UTF-8 stand far beyond the head of the file."""
+    path = _path(spark, "latin.csv")
+    name = F.when(F.col("c_custkey") % 100 == 0, F.concat(F.lit("Café "), "c_name")).otherwise(F.col("c_name"))
+    table(spark, d, "customer").select("c_custkey", name).coalesce(1).sortWithinPartitions("c_custkey").write.csv(path, encoding="ISO-8859-1")
+    return read_delimited(spark, path, delimiter=",", varnames=None)
+
+
+@query("SELECT CAST(o_orderkey AS INTEGER) AS v1, o_orderpriority AS v2, CASE WHEN o_orderkey % 100 = 0 THEN o_orderstatus ELSE '' END AS v3 FROM orders")
+def io_delimited_late_wide_line(spark, d):
+    """The first line with a third field stands far beyond the head of the file."""
+    path = _path(spark, "wide.csv")
+    last = F.when(F.col("o_orderkey") % 100 == 0, F.col("o_orderstatus"))
+    lines = table(spark, d, "orders").select("o_orderkey", F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderpriority", last).alias("value"))
+    lines.coalesce(1).sortWithinPartitions("o_orderkey").select("value").write.text(path)
+    return read_delimited(spark, path, delimiter=",", varnames=None)
 
 
 def _orders_european(spark, d) -> DataFrame:
