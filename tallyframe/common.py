@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import os
 import tempfile
 import uuid
@@ -77,8 +78,11 @@ def with_position(df: DataFrame, name: str = "__row", order: list[str] | None =
         at += n
     if not counts:
         return numbered.withColumn(name, F.lit(0).cast("long")).drop("__m")
-    offsets = F.create_map(*[F.lit(x).cast("long") for p in start for x in (p, start[p])])
-    return numbered.withColumn(name, offsets[part] + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__m")
+    # One short row for each partition, from one literal: the plan is the same for any number of partitions.
+    made = F.from_json(F.lit(json.dumps([{"__part": p, "__start": n} for p, n in start.items()])), "array<struct<__part: bigint, __start: bigint>>")
+    offsets = df.sparkSession.range(1).select(F.inline(made))
+    placed = numbered.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+    return placed.withColumn(name, F.col("__start") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__m", "__part", "__start")
 
 
 _SHIPPED: set[str] = set()
