@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..common import EngineError, need, small, written
+from ..common import EngineError, need, small, with_position, written
 
 MOST_CELLS = 2_000_000
 MOST_BROADCAST = 200_000
@@ -139,7 +139,7 @@ def absorb(df: DataFrame, effects: list[str], variables: dict[str, Column], weig
     cells = base.groupBy(*effects).agg(F.count("*").alias("__n"), F.sum(w).alias("__w"), *[F.sum(w * (F.col(f"v_{n}") - F.lit(centers[n]))).alias(f"__s_{n}") for n in names])
     cells = written(cells, "fe-cells")
     if cells.count() > most_cells:
-        return _absorb_in_frames(base, effects, names, w, tol, most, keep_singletons, total_rows)
+        return _absorb_in_frames(base, effects, names, w, tol, most, keep_singletons, total_rows, centers)
     table = cells.toArrow()
     n = table.column("__n").to_numpy()
     weights = table.column("__w").to_numpy().astype(float)
@@ -198,8 +198,8 @@ def sums_means(data: DataFrame, names: list[str], w: Column) -> dict[str, float]
     return {n: row[f"m_{n}"] or 0.0 for n in names}
 
 
-def _absorb_in_frames(base, effects, names, w, tol, most, keep_singletons, total_rows) -> Absorbed:
-    """The same by DataFrames: for cell tables beyond the driver."""
+def _absorb_in_frames(base, effects, names, w, tol, most, keep_singletons, total_rows, centers) -> Absorbed:
+    """The same by DataFrames: for cell tables beyond the driver. The level effects are the sums of the means taken off."""
     data = base
     while not keep_singletons:
         before = data.count()
@@ -209,21 +209,30 @@ def _absorb_in_frames(base, effects, names, w, tol, most, keep_singletons, total
         data = written(data, "fe-sample")
         if data.count() == before:
             break
-    data = data.withColumns({f"d_{v}": F.col(f"v_{v}").cast("double") for v in names})
+    data = data.withColumns({f"d_{v}": (F.col(f"v_{v}") - F.lit(centers[v])).cast("double") for v in names})
+    found: list[DataFrame] = []
+    for f in effects:
+        zero = data.select(F.col(f).alias("__level")).distinct()
+        found.append(written(zero.withColumns({f"__t_{v}": F.lit(0.0) for v in names}), "fe-effects"))
     rounds = 0
     for rounds in range(1, most + 1):
-        worst = []
-        for f in effects:
-            means = data.groupBy(f).agg(*[(F.sum(w * F.col(f"d_{v}")) / F.sum(w)).alias(f"__a_{v}") for v in names]).withColumnRenamed(f, "__level")
+        for g, f in enumerate(effects):
+            means = data.groupBy(F.col(f).alias("__level")).agg(*[(F.sum(w * F.col(f"d_{v}")) / F.sum(w)).alias(f"__a_{v}") for v in names])
+            means = written(means, "fe-means")
+            found[g] = written(found[g].join(means, "__level").select("__level", *[(F.col(f"__t_{v}") + F.col(f"__a_{v}")).alias(f"__t_{v}") for v in names]), "fe-effects")
             data = data.join(means, F.col(f) == F.col("__level")).drop("__level")
-            worst.append([f"__a_{v}" for v in names])
-            data = data.withColumns({f"d_{v}": F.col(f"d_{v}") - F.col(f"__a_{v}") for v in names}).withColumn("__move", F.greatest(F.lit(0.0), *[F.abs(f"__a_{v}") / (1 + F.abs(f"v_{v}")) for v in names])).drop(*worst[-1])
+            data = data.withColumns({f"d_{v}": F.col(f"d_{v}") - F.col(f"__a_{v}") for v in names}).withColumn("__move", F.greatest(F.lit(0.0), *[F.abs(f"__a_{v}") / (1 + F.abs(f"v_{v}")) for v in names])).drop(*[f"__a_{v}" for v in names])
         data = written(data, "fe-round")
         if len(effects) == 1 or (data.agg(F.max("__move")).first()[0] or 0.0) < tol:
             break
+    else:
+        raise EngineError(430, "the fixed effects did not converge")
     data = data.drop("__move")
-    sizes = [data.agg(F.countDistinct(f)).first()[0] for f in effects]
+    sizes = [t.count() for t in found]
+    tables = [t.select("__level", *[F.col(f"__t_{v}").alias(f"__e{g}_{v}") for v in names]) for g, t in enumerate(found)]
     n = data.count()
+    if not n:
+        raise EngineError(2001, "insufficient observations")
     components, groups = 0, None
     if len(effects) > 1:
         edges = written(data.select(effects[0], effects[1]).distinct(), "fe-edges")
@@ -234,9 +243,11 @@ def _absorb_in_frames(base, effects, names, w, tol, most, keep_singletons, total
             if new.join(label.withColumnRenamed("__g", "__old"), effects[0]).filter("__g <> __old").limit(1).count() == 0:
                 break
             label = new
-        components = label.agg(F.countDistinct("__g")).first()[0]
-        groups = label.select(F.col(effects[0]).alias("__level"), F.col("__g").alias("__group"))
-    return Absorbed(data, n, sizes, total_rows - n, components, rounds, groups=groups, means=sums_means(data, names, w))
+        # Components are numbered from 1 in the order of their labels.
+        numbers = with_position(label.select("__g").distinct(), "__group", ["__g"])
+        components = numbers.count()
+        groups = label.join(numbers, "__g").select(F.col(effects[0]).alias("__level"), F.col("__group").cast("int").alias("__group"))
+    return Absorbed(data, n, sizes, total_rows - n, components, rounds, effects=tables, groups=groups, means=sums_means(data, names, w))
 
 
 def nested_in(data: DataFrame, effect: str, cluster: list[str]) -> bool:

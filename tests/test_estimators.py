@@ -96,6 +96,39 @@ def test_collinear_singletons_and_distributed_path(panel, spark):
     right = {r.id: (r.d_y, r.d_x) for r in b.data.select("id", "d_y", "d_x").collect()}
     assert np.allclose([left[i] for i in pdf.id], [right[i] for i in pdf.id], atol=1e-6)
     assert (a.levels, a.components) == (b.levels, b.components)
+    assert dict(b.groups.dtypes)["__group"] == "int" and sorted({r["__group"] for r in b.groups.collect()}) == list(range(1, b.components + 1))
+
+    def whole(part, variable):  # the sum of a row's effects, which both paths agree on
+        out = df
+        for g, f in enumerate(("f1", "f2")):
+            out = out.join(part.effects[g].select(F.col("__level").alias(f), F.col(f"__e{g}_{variable}").alias(f"e{g}")), f)
+        return {r.id: r.e0 + r.e1 for r in out.collect()}
+
+    for v in "yx":
+        left, right = whole(a, v), whole(b, v)
+        assert np.allclose([left[i] for i in pdf.id], [right[i] for i in pdf.id], atol=1e-6)
+
+
+def test_estimators_on_the_distributed_path(panel, monkeypatch):
+    from functools import partial
+
+    from tallyframe.operators import binned, fe, iv, regression
+
+    pdf, df = panel
+
+    def run():
+        ols = fe_ols(df, "y", ["x1"], ["f1", "f2"])
+        means = binned.binned_means(df, "y", "x1", nquantiles=5, absorb_=["f1"], method="binsreg").bins.orderBy("bin").toPandas()
+        two = fe_iv(df, "y", ["x2"], ["z1", "z2"], absorb_=["f1"])
+        return ols, means, two
+
+    ols, means, two = run()
+    for module in (regression, binned, iv):
+        monkeypatch.setattr(module, "absorb", partial(fe.absorb, most_cells=0))
+    far, far_means, far_two = run()
+    assert np.allclose(ols.b, far.b, atol=1e-7) and np.allclose(ols.v, far.v, rtol=1e-5) and np.allclose(two.b, far_two.b, atol=1e-6)
+    assert np.allclose(means.y_mean, far_means.y_mean, atol=1e-6)
+    assert set(far.effects) == set(ols.effects) == {"f1", "f2", "__groups"} and all(far.effects[f].count() == ols.effects[f].count() for f in far.effects)
 
 
 def test_factors_lags_and_prediction(panel):
