@@ -110,10 +110,12 @@ _WRITTEN: list = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one where that is unset and the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise EngineError(198, "spark.checkpoint.dir must name a folder that all executors share")
     return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tallyframe-"))
 
 
