@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from ._common import staged, uniform, with_small
 
 SLOTS_PER_TASK = 250_000
+#: Longest array that counts are grown through.
+RUN = 4_096
 WORD_START = r"[\x20\x09-\x0D][^\x20\x09-\x0D]"
 
 
@@ -31,6 +33,39 @@ def permuted(x: Column, n: Column, *key: Column | str, rounds: int = 24) -> Colu
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x, swap)
 
 
+def counted_out(counts: DataFrame, n: str, total: int, *key: str) -> DataFrame:
+    """Each row of ``counts`` ``n`` times, numbered from 0 by ``i``.
+
+    The few rows grow into runs of at most RUN numbers, which are dealt out to the tasks before
+    they grow further, so no array and no task holds a row's whole count.
+    """
+    tasks = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SLOTS_PER_TASK))
+    runs = counts.select("*", F.explode(F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(RUN).cast("long")))).alias("run")).repartition(tasks, *key, "run")
+    return runs.select("*", F.explode(F.sequence(F.col("run"), F.least(F.col("run") + RUN, F.col(n)) - 1)).alias("i")).drop("run")
+
+
+def drawn_counts(todo: DataFrame, odds: DataFrame, total: int, *key: Column, cells: int | None = None) -> DataFrame:
+    """Source counts (shard, rank, n) of every shard of ``todo`` (shard, first, n) by ``odds`` (rank, n).
+
+    The counts are multinomial draws under the condition that over all shards each source comes up
+    exactly its n times: the ``total`` slots of all shards, numbered from ``first``, are laid on a line
+    by a pseudorandom permutation, on which each source owns a span of length n. The line is cut into
+    equal cells, so slots spread evenly whatever the odds; in each cell a slot takes the last mark
+    at or below it, marks being the starts of spans and, at a cell's edge, the span across it.
+    """
+    cells = cells or max(4 * int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 1_000_000))
+    width = F.lit(max(1, -(-total // cells))).cast("long")
+    spans = odds.filter("n > 0").withColumn("hi", F.sum("n").over(W.orderBy("rank"))).select("rank", (F.col("hi") - F.col("n")).alias("lo"), "hi")
+    edges = spans.select("rank", (F.floor(F.col("lo") / width) + 1).alias("first"), F.floor((F.col("hi") - 1) / width).alias("last")).filter("first <= last")
+    edges = edges.select("rank", F.explode(F.sequence("first", "last")).alias("cell"))
+    marks = spans.select("rank", F.floor(F.col("lo") / width).alias("cell"), F.col("lo").alias("at")).unionByName(edges.select("rank", "cell", (F.col("cell") * width).alias("at")))
+    draws = counted_out(todo, "n", total, "shard").select("shard", permuted(F.col("first") + F.col("i"), F.lit(total), *key, F.lit(4)).alias("at"))
+    both = marks.withColumn("shard", F.lit(None).cast("long")).unionByName(draws.withColumn("cell", F.floor(F.col("at") / width)), allowMissingColumns=True)
+    below = W.partitionBy("cell").orderBy("at", F.col("shard").asc_nulls_first(), "rank").rowsBetween(W.unboundedPreceding, 0)
+    named = both.withColumn("rank", F.last("rank", ignorenulls=True).over(below)).filter("shard is not null")
+    return named.groupBy("shard", "rank").agg(F.count("*").alias("n"))
+
+
 @dataclass
 class Mix:
     """``sources``: rank, source, source_size, weight, target. ``slots``: shard, slot, rank, pass, block.
@@ -72,11 +107,12 @@ def mix(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, block_words: int = 64,
     """Mix the words of ``docs`` (doc_id, source, text) so that each source supplies its target.
 
     The words of a source, document after document, are packed into blocks of ``block_words``
-    (the last may be shorter). Every output shard draws how many slots each source fills: the
-    whole part of the expectation, and the remaining slots by multinomial draws on the fractions.
-    A source's j-th slot in the mix takes block j mod n of its n blocks, mapped through a
-    permutation that depends on the source and on the pass j div n; blocks join the slots by
-    index. Slots beyond ``cap`` passes are left out, so no document is taken more than ``cap`` times.
+    (the last may be shorter). Every output shard draws how many of its slots each source fills:
+    multinomial counts under the condition that over all shards each source fills the slots that
+    its target asks for, at most ``cap`` passes over its blocks, so no document is taken more than
+    ``cap`` times and nothing is drawn that must be dropped. A source's j-th slot in the mix takes
+    block j mod n of its n blocks, mapped through a permutation that depends on the source and on
+    the pass j div n; blocks join the slots by index.
 
     Null texts, empty texts and texts of white space have size 0 and are never taken. A null
     source is a source of its own. Null and repeated doc_ids and repeated rows are kept row by
@@ -104,30 +140,21 @@ def mix(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, block_words: int = 64,
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
     spans = spans.withColumn("words", end - F.greatest(F.col("start"), F.col("block") * block_words))
 
-    # Slots that each shard draws from each source.
-    plan = sources.filter("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block_words)))
-    plan = plan.select("rank", "blocks", (F.col("target") * F.col("blocks") / F.col("source_size")).alias("expected"))
-    expected = plan.agg(F.sum("expected")).first()[0] or 0.0
-    per_shard = max(shard_slots, 64 * n_sources, -(-int(expected) // most_shards))
-    shards = max(1, -(-int(expected) // per_shard))
-    share = plan.select("rank", "blocks", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), (F.col("expected") / F.lit(shards)).alias("e"))
-    share = share.select("rank", "blocks", "shard", F.floor("e").alias("base"), (F.col("e") - F.floor("e")).alias("part"))
-    share = share.withColumn("upto", F.sum("part").over(W.partitionBy("shard").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)))
-    share = staged(share, "mix-share")
-    ends = share.groupBy("shard").agg(F.max("upto").alias("upto")).filter("round(upto) > 0")
-    draws = ends.select("shard", "upto", F.explode(F.sequence(F.lit(1), F.round("upto").cast("int"))).alias("t"))
-    draws = draws.select("shard", (uniform(F.lit(seed), "shard", "t") * F.col("upto")).alias("at"), F.lit(1).alias("drawn"), F.lit(None).cast("int").alias("rank"))
-    marks = share.filter("part > 0").select("shard", F.col("upto").alias("at"), F.lit(0).alias("drawn"), "rank")
-    above = W.partitionBy("shard").orderBy(F.desc("at"), F.desc("drawn")).rowsBetween(W.unboundedPreceding, 0)
-    drawn = marks.unionByName(draws).withColumn("rank", F.last("rank", ignorenulls=True).over(above)).filter("drawn = 1").groupBy("shard", "rank").agg(F.count("*").alias("drawn"))
-    counts = share.join(drawn, ["shard", "rank"], "left").select("shard", "rank", "blocks", (F.col("base") + F.coalesce("drawn", F.lit(0))).alias("n"))
+    # Slots that the targets ask for, in whole numbers that add up, and those that each shard draws from each source.
+    odds = sources.filter("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block_words)))
+    odds = odds.withColumn("upto", F.round(F.sum(F.col("target") * F.col("blocks") / F.col("source_size")).over(W.orderBy("rank"))).cast("long"))
+    wanted = F.col("upto") - F.coalesce(F.lag("upto").over(W.orderBy("rank")), F.lit(0))
+    odds = staged(odds.select("rank", "blocks", F.least(wanted, cap * F.col("blocks")).alias("n")), "mix-odds")
+    n_slots = odds.agg(F.sum("n")).first()[0] or 0
+    shards = max(1, -(-n_slots // max(shard_slots, 64 * n_sources, -(-n_slots // most_shards))))
+    first = lambda s: F.floor(s * F.lit(n_slots) / F.lit(shards))
+    todo = docs.sparkSession.range(shards).select(F.col("id").alias("shard"), first(F.col("id")).alias("first"), (first(F.col("id") + 1) - first(F.col("id"))).alias("n"))
+    counts = staged(drawn_counts(todo, odds, n_slots, F.lit(seed)), "mix-drawn")
+    counts = with_small(counts, odds.select("rank", "blocks"), "rank", n_sources)
     counts = counts.withColumn("from_j", F.coalesce(F.sum("n").over(W.partitionBy("rank").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     counts = counts.withColumn("from_slot", F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    counts = counts.withColumn("slots", F.sum("n").over(W.partitionBy("shard"))).filter("n > 0")
-    # The few rows of counts grow into slots, so they are dealt out first; the slots are never broadcast.
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(expected) // SLOTS_PER_TASK))
-    counts = counts.repartition(tasks, "shard", "rank")
-    slots = counts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).withColumn("j", F.col("from_j") + F.col("i")).filter(F.col("j") < cap * F.col("blocks"))
+    counts = counts.withColumn("slots", F.sum("n").over(W.partitionBy("shard")))
+    slots = counted_out(counts, "n", n_slots, "shard", "rank").withColumn("j", F.col("from_j") + F.col("i"))
     turn = F.floor(F.col("j") / F.col("blocks"))
     slots = slots.select(
         "shard",

@@ -498,6 +498,36 @@ def test_permutation(spark):
         assert sorted(got) == list(range(n))
 
 
+def test_draws_are_multinomial(spark):
+    """Counts of 400 shards vary as multinomial draws do, whatever the cells, and add up to the sources' totals."""
+    from pyspark.sql import functions as F
+
+    total, want = 200_000, np.array([100_000, 60_000, 29_999, 9_900, 0, 100, 1])
+    odds = spark.createDataFrame([(i + 1, int(x)) for i, x in enumerate(want)], "rank int, n long")
+    todo = spark.range(400).select(F.col("id").alias("shard"), (F.col("id") * 500).alias("first"), F.lit(500).cast("long").alias("n"))
+    got = [{(r.shard, r.rank): r.n for r in mixing.drawn_counts(todo, odds, total, F.lit(5), cells=c).collect()} for c in (None, 1, 1_000)]
+    assert got[0] == got[1] == got[2]
+    n = np.array([[got[0].get((s, r), 0) for r in range(1, 8)] for s in range(400)])
+    assert (n.sum(axis=1) == 500).all() and (n.sum(axis=0) == want).all()
+    for k in (0, 1, 2, 3, 5):
+        p = want[k] / total
+        assert 0.75 < n[:, k].var() / (500 * p * (1 - p)) < 1.25
+    assert -0.75 < np.corrcoef(n[:, 0], n[:, 1])[0, 1] < -0.55  # the theory: -0.65
+
+
+def test_full_sources(spark):
+    """Sources at their cap stay within three passes and every shard is filled; slots are gapless."""
+    rows = [(i, s, "w " * 40) for s, n in (("a", 2), ("b", 900), ("c", 40), (None, 25)) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    m = mixing.mix(df, block_words=8, shard_slots=64)
+    slots = m.slots.toPandas()
+    assert len(slots) == round(sum(r.target / 8 for r in m.sources.collect()))
+    assert (slots.groupby(["rank", "block"]).size() <= 3).all()
+    per = slots.groupby("shard").slot.agg(["min", "max", "count", "nunique"])
+    assert len(per) > 10 and (per["min"] == 0).all() and (per["max"] == per["count"] - 1).all() and (per["nunique"] == per["count"]).all()
+    assert per["count"].max() - per["count"].min() <= 1
+
+
 def test_mix(spark, sf_dir, docs, none):
     df = table(spark, sf_dir, "documents")
     once = mixing.mix_digest(df, block_words=16).toPandas()
