@@ -5,18 +5,23 @@ in one of three blocks (21, 21 and 22 bits). Each block, padded to 23 bits, is c
 4096 words of the perfect Golay code, whose covering radius is 3: every block value has exactly
 one anchor within 3. A fingerprint is at home at that anchor and visits every anchor within
 3 + bits // 3; two linked fingerprints therefore meet where one of them is at home.
+
+Three times 4096 anchors make comparisons grow with the square of the fingerprints. Where that would
+cost more than moving more rows, anchors are pairs of code words of two blocks, three times 4096
+squared: the two blocks that differ least differ in at most 2 * bits // 3 places together, which is
+how far beyond the radius a visit may reach in both blocks together. Both covers find every link.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import clear_name, shipped, slices, staged, trimmed
+from ._common import clear_name, shipped, slices, staged, trimmed, with_small
 
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 RADIUS = 3
@@ -24,6 +29,10 @@ RADIUS = 3
 GENERATOR = 0b101011100011
 #: Rows of one anchor that one task compares at once; larger anchors are split into a grid.
 CELL = 20_000
+#: Comparisons that cost as much as one more row that a cover moves, and the bits up to which pairs of blocks are used.
+ROW_COST, PAIR_BITS = 500, 4
+#: Rows that one task compares, anchor after anchor.
+PART = 200_000
 #: Names of rows (two numbers each) that are sent to all executors at once; more are joined by shuffle.
 SENT_ROWS = 1_000_000
 
@@ -114,50 +123,130 @@ def local_forest(home: np.ndarray, visitors: np.ndarray, bits: int) -> tuple[np.
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def links(distinct: DataFrame, bits: int = 4, cell: int = CELL) -> DataFrame:
+def ragged_cross(n_left: np.ndarray, n_right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group, left and right number within the group of every pair of n_left[g] x n_right[g]."""
+    n = n_left * n_right
+    group = np.repeat(np.arange(len(n)), n)
+    i = np.arange(len(group)) - np.repeat(np.cumsum(n) - n, n)
+    return group, i // n_right[group], i % n_right[group]
+
+
+def cover_blocks(fp: np.ndarray, bits: int):
+    """(anchor, row, home) for each block: at home within the radius, visits to bits // 3 beyond."""
+    for b, (shift, width) in enumerate(BLOCKS):
+        value = ((fp >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
+        row, anchor = anchors_within(value, RADIUS + bits // 3)
+        # The systematic part names the word among 4096; three blocks follow one another.
+        yield b << 12 | anchor >> 11, row, np.bitwise_count(value[row] ^ anchor) <= RADIUS
+
+
+def cover_pairs(fp: np.ndarray, bits: int):
+    """(anchor, row, home) for each pair of blocks: both excesses over the radius add up to at most 2 * bits // 3."""
+    most = 2 * bits // 3
+    near = []  # of each block, by excess: anchors in the order of their rows, their number and start for each row
+    for shift, width in BLOCKS:
+        value = ((fp >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
+        row, anchor = anchors_within(value, RADIUS + most)
+        excess = np.maximum(np.bitwise_count(value[row] ^ anchor).astype(np.int64) - RADIUS, 0)
+        by = []
+        for e in range(most + 1):
+            n = np.bincount(row[excess == e], minlength=len(fp))
+            by.append((anchor[excess == e] >> 11, n, np.cumsum(n) - n))
+        near.append(by)
+    for p, (b, c) in enumerate(combinations(range(3), 2)):
+        for e in range(most + 1):
+            for f in range(most + 1 - e):
+                (left, n_left, from_left), (right, n_right, from_right) = near[b][e], near[c][f]
+                row, i, j = ragged_cross(n_left, n_right)
+                anchor = p << 24 | left[from_left[row] + i] << 12 | right[from_right[row] + j]
+                yield anchor, row, np.full(len(row), e + f == 0)
+
+
+def anchor_links(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the linked groups of every anchor: few small ones side by side, others as forests."""
+    order = np.lexsort((home, anchor))
+    anchor, fp, home = anchor[order], fp[order], home[order]
+    starts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
+    rows = np.diff(np.append(starts, len(anchor)))
+    homes = np.add.reduceat(home.astype(np.int64), starts) if len(starts) else rows
+    visits = rows - homes  # which stand before the homes
+    left, right = [], []
+
+    def forest(g: int) -> None:
+        at, mid, end = starts[g], starts[g] + visits[g], starts[g] + rows[g]
+        a, b = local_forest(fp[mid:end], fp[at:mid], bits)
+        left.append(a)
+        right.append(b)
+
+    pairs = homes * visits
+    for g in np.flatnonzero(pairs > 100_000):
+        forest(g)
+    small = np.flatnonzero((pairs > 0) & (pairs <= 100_000))
+    cuts = np.searchsorted(np.cumsum(pairs[small]), np.arange(0, pairs[small].sum() + 1, 1_000_000)).tolist()
+    for i, j in pairwise([*cuts, len(small)]):
+        some = small[i:j]
+        group, h, v = ragged_cross(homes[some], visits[some])
+        a, b = fp[(starts + visits)[some][group] + h], fp[starts[some][group] + v]
+        near = (np.bitwise_count(a ^ b) <= bits) & (a != b)
+        dense = np.bincount(group[near], minlength=len(some)) > rows[some]
+        keep = near & ~dense[group]
+        left.append(a[keep])
+        right.append(b[keep])
+        for g in some[dense]:
+            forest(g)
+    none = np.zeros(0, np.uint64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
+def links(distinct: DataFrame, bits: int = 4, cell: int = CELL, pairs: bool | None = None) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (fp) that span every group of linked ones.
 
     Every two fingerprints with at most ``bits`` differing bits are compared; each group of rows
-    that is compared at once gives a spanning forest of its links, so no group gives all its pairs.
+    that is compared at once gives a spanning forest of its links, or its links if they are no more
+    than its rows, so no group gives all its pairs. ``pairs`` takes anchors of pairs of blocks; by
+    default the cover whose rows and comparisons cost less is taken (of random fingerprints one meets
+    5.3 anchors in a block, 61 in a pair of blocks). Both give the same groups.
     """
-    if bits > 11:
-        raise ValueError("at most 11 bits")
-    reach = RADIUS + bits // 3
+    if bits > 11 or (pairs and bits > PAIR_BITS):
+        raise ValueError("at most 11 bits, 4 with pairs of blocks")
+    if pairs is None:
+        n = distinct.count()
+        pairs = bits <= PAIR_BITS and 3 * 5.3 * (ROW_COST + n / 4096) > 3 * 61 * (ROW_COST + n / 4096**2)
+    covering, at_once = (cover_pairs, 5_000) if pairs else (cover_blocks, 50_000)
 
     def cover(batches):
         import pyarrow as pa
 
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for i in range(0, len(fp), 50_000):
-                part = fp[i : i + 50_000]
-                for b, (shift, width) in enumerate(BLOCKS):
-                    value = ((part >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
-                    row, anchor = anchors_within(value, reach)
-                    home = np.bitwise_count(value[row] ^ anchor) <= RADIUS
-                    # The systematic part names the word among 4096; three blocks follow one another.
-                    yield pa.RecordBatch.from_arrays([pa.array((b << 12 | anchor >> 11).astype(np.int32)), pa.array(part[row].view(np.int64)), pa.array(home)], ["anchor", "fp", "home"])
+            for i in range(0, len(fp), at_once):
+                part = fp[i : i + at_once]
+                for anchor, row, home in covering(part, bits):
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(part[row].view(np.int64)), pa.array(home)], ["anchor", "fp", "home"])
 
     covered = staged(shipped(distinct).mapInArrow(cover, "anchor int, fp long, home boolean"), "simhash-anchors")
     sizes = covered.groupBy("anchor").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("visits"))
     wide = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("homes") / cell))
     tall = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("visits") / (4 * cell)))
-    grid = staged(sizes.select("anchor", wide.alias("wide"), tall.alias("tall")), "simhash-grid")  # 12,288 anchors at most
-    dealt = covered.join(F.broadcast(grid), "anchor")
+    grid = staged(sizes.select("anchor", wide.alias("wide"), tall.alias("tall")).filter("wide > 1 or tall > 1"), "simhash-grid")
+    one = F.lit(1).cast("long")
+    dealt = with_small(covered, grid, "anchor", grid.count(), how="left", most=100_000).withColumns({"wide": F.coalesce("wide", one), "tall": F.coalesce("tall", one)})
     own_row = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("tall"))
     own_col = F.pmod(F.xxhash64("fp", F.lit(2)), F.col("wide"))
     visits = dealt.select("anchor", F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1)).alias("col"), own_row.alias("row"), "fp", F.lit(False).alias("home"))
     homes = dealt.filter("home").select("anchor", own_col.alias("col"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tall") - 1)).alias("row"), "fp", F.lit(True).alias("home"))
+    # Cells of the grids are many and mostly small, so a task compares a hashed part of them, cell by cell.
+    parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-covered.count() // PART))
+    cells = homes.unionByName(visits).select(F.xxhash64("anchor", "col", "row").alias("place"), "fp", "home")
 
     def compare(table):
         import pyarrow as pa
 
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        home = table.column("home").to_numpy(zero_copy_only=False)
-        a, b = local_forest(fp[home], fp[~home], bits)
+        place, fp = table.column("place").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
+        a, b = anchor_links(place, fp, table.column("home").to_numpy(zero_copy_only=False), bits)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    return homes.unionByName(visits).groupBy("anchor", "col", "row").applyInArrow(compare, "a long, b long")
+    return cells.withColumn("part", F.pmod("place", F.lit(parts))).groupBy("part").applyInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

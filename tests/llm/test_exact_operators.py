@@ -198,8 +198,8 @@ def test_links_of_planted_fingerprints(spark):
             near.append(x)
     fps = sorted({*base.tolist(), *near})
     rows = spark.createDataFrame([(f,) for f in fps], "fp long")
-    for cell in (simhash.CELL, 2):  # the second splits every anchor into a grid
-        roots = {r.node: r.root for r in simhash.components(simhash.links(rows, 4, cell)).collect()}
+    for cell, pairs in ((simhash.CELL, None), (2, False), (simhash.CELL, True), (2, True)):  # 2 splits every anchor into a grid
+        roots = {r.node: r.root for r in simhash.components(simhash.links(rows, 4, cell, pairs)).collect()}
         arr = np.array(fps, np.int64).view(np.uint64)
         parent = list(range(len(fps)))
 
@@ -226,6 +226,49 @@ def test_golay_covering():
     assert (np.bincount(row) >= 1).all()
 
 
+def test_covers_meet_every_link():
+    """Whichever 4 bits differ, either cover brings one fingerprint to the other's home; each has three homes."""
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 2**64, 3_000, dtype=np.uint64)
+    b = a ^ np.array([sum(1 << int(i) for i in rng.choice(64, 4, replace=False)) for _ in a], np.uint64)
+    for cover in (simhash.cover_blocks, simhash.cover_pairs):
+        homes, visits = set(), set()
+        for anchor, row, home in cover(a, 4):
+            homes.update(zip(anchor[home].tolist(), row[home].tolist(), strict=True))
+        for anchor, row, _ in cover(b, 4):
+            visits.update(zip(anchor.tolist(), row.tolist(), strict=True))
+        assert len(homes) == 3 * len(a)
+        assert {r for _, r in homes & visits} == set(range(len(a)))
+
+
+def test_links_of_anchors():
+    """Sparse anchors give their links, dense and large ones forests; anchors do not mix."""
+    rng = np.random.default_rng(5)
+    fps = np.unique(rng.integers(0, 2**20, 900, dtype=np.uint64))
+    anchor = np.repeat([7, 9, 11], [5, 60, len(fps) - 65])
+    both = lambda x: np.concatenate([x, x])
+    home = np.repeat([True, False], len(fps))
+    a, b = simhash.anchor_links(both(anchor), both(fps), home, 4)
+    number = {int(f): i for i, f in enumerate(fps)}
+
+    def groups(pairs):
+        parent = list(range(len(fps)))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for x, y in pairs:
+            parent[find(x)] = find(y)
+        return {frozenset(i for i in range(len(fps)) if find(i) == r) for r in map(find, range(len(fps)))}
+
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
+    near &= anchor[:, None] == anchor[None, :]
+    assert groups([(number[int(x)], number[int(y)]) for x, y in zip(a, b, strict=True)]) == groups(np.argwhere(near))
+    assert len(a) < 3 * len(fps)
+
+
 def test_dense_group_gives_a_forest():
     rng = np.random.default_rng(3)
     base = np.uint64(12345678901234567)
