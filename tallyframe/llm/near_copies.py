@@ -1,8 +1,14 @@
-"""Near copies by exact similarity of word shingles: MinHash buckets propose pairs, the texts decide.
+"""Near copies by exact similarity of word shingles: SimHash and Golay anchors propose pairs, the texts decide.
 
-Two texts of similarity s agree in a bucket of ``ROWS`` minima with probability s ** ROWS; at 0.8, 20
-buckets miss 0.04 % of the pairs. Each bucket proposes its members' pairs with one of them only, so a
-bucket of n texts gives n - 1 pairs; a second round takes another one and proposes what is still apart.
+op9's method, made wide enough for a similarity of 0.8: a fingerprint of ``WORDS`` times 64 bits, one for
+over half of the hashes of a text's distinct shingles, is cut into ``BLOCKS`` blocks of 23 bits. It is at home
+at each block's code word of the binary Golay code and visits the code words within one more bit. Texts that
+meet at an anchor, one of them at home, are proposed if their first 128 bits are within ``REACH``. Fingerprints
+of texts of similarity 0.8 differ in 15 % of the bits; at that rate a block joins 39.5 % of the pairs, 16
+blocks miss 0.03 % and the reach 0.03 %. At most 31 differing bits in the 16 blocks always leave one where the texts meet.
+
+A text with many proposals at an anchor gives the nearest of them, and what is still apart then is proposed again,
+in ``ROUNDS`` rounds at most; the last one proposes every pair that is left, so groups of many texts lose none.
 """
 
 from __future__ import annotations
@@ -12,12 +18,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import shipped, slices, staged, trimmed, with_small
-from .simhash import components, survivors, text_key
+from .simhash import PART, RADIUS, anchors_within, components, survivors, text_key
 
-BANDS, ROWS = 20, 5
+WORDS, BLOCKS, WIDTH = 6, 16, 23
+#: Differing bits, of the first 128, up to which two texts are compared.
+REACH = 33
+#: Proposals of one text at one anchor that are all made at once, those made of more, and rounds until all that is left is proposed.
+MOST, NEAREST, ROUNDS = 8, 2, 3
+#: Texts at home at an anchor (and a quarter of its visits) that one task compares at once; larger anchors are split into a grid.
+CELL = 10_000
 #: Pairs of one text that are compared by one task at most, about.
 SHARE = 500
-_ODD = np.random.default_rng(11).integers(0, 2**63, (BANDS * ROWS, 2), np.uint64) * np.uint64(2) + np.uint64(1)
+_SEEDS = np.random.default_rng(11).integers(0, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -50,36 +62,124 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def buckets_of(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of ``BANDS`` bucket names for each set; empty sets share theirs."""
-    out = np.zeros((len(sets), BANDS), np.uint64)
-    full = [i for i, s in enumerate(sets) if len(s)]
-    if full:
-        every = np.concatenate([sets[i] for i in full])
-        starts = np.cumsum([0, *[len(sets[i]) for i in full[:-1]]])
-        for band in range(BANDS):
-            name = np.full(len(full), band, np.uint64)
-            for a, b in _ODD[band * ROWS : (band + 1) * ROWS]:
-                v = (every ^ b) * a
-                name = mixed(name * _MIX[0] + np.minimum.reduceat(v ^ (v >> np.uint64(32)), starts))
-            out[full, band] = name
-    return out
+def fingerprint(hashes: np.ndarray) -> bytes:
+    """A bit is 1 if it is set in over half of the ``hashes``, each mixed with ``WORDS`` seeds; no hashes: 0."""
+    total = np.zeros(64 * WORDS, np.int64)
+    for i in range(0, len(hashes), 16_384):
+        h = mixed(hashes[i : i + 16_384, None] * _SEEDS[None, :])
+        total += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * total > len(hashes), bitorder="little").tobytes()
 
 
-def buckets(texts: DataFrame, words: int) -> DataFrame:
-    """h and bucket, ``BANDS`` times for each row of ``texts`` (h, text)."""
+def fingerprints(texts: DataFrame, words: int) -> DataFrame:
+    """h, the hash of the set of shingles and its fingerprint for each row of ``texts`` (h, text)."""
 
     def run(batches):
         import pyarrow as pa
+        import xxhash
 
         for batch in batches:
             for part in slices(batch, batch.column(2).to_pylist(), 2_000_000):
-                got = buckets_of([shingles(t.as_buffer().to_pybytes(), words) for t in part.column(1)])
-                h = np.repeat(part.column(0).to_numpy(zero_copy_only=False), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(got.reshape(-1).view(np.int64))], ["h", "bucket"])
+                sets = [shingles(t.as_buffer().to_pybytes(), words) for t in part.column(1)]
+                names = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names), pa.array([fingerprint(s) for s in sets], pa.binary())], ["h", "name", "fp"])
+        trimmed()
+
+    return shipped(texts).select("h", "text", F.octet_length("text").alias("n")).mapInArrow(run, "h long, name long, fp binary")
+
+
+def cover(fp: np.ndarray):
+    """(anchor, row, home) for each block of the fingerprints, rows of bytes: at home within the radius, visits to one bit beyond."""
+    bits = np.unpackbits(fp, axis=1, bitorder="little")
+    for b in range(BLOCKS):
+        value = bits[:, b * WIDTH : (b + 1) * WIDTH].astype(np.int64) @ (1 << np.arange(WIDTH))
+        row, anchor = anchors_within(value, RADIUS + 1)
+        yield b << 12 | anchor >> 11, row, np.bitwise_count(value[row] ^ anchor) <= RADIUS
+
+
+def proposals(homes: tuple, visits: tuple, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of texts at one anchor that are within reach and apart, a > b; each is (h, root, first, second word).
+
+    A home with over ``most`` of them gives its ``NEAREST`` ones, and (h, h) of itself and of all that it
+    keeps back; None gives all.
+    """
+    (h, root, *f), (v, v_root, *g) = homes, visits
+    left, right = [], []
+    step = max(1, 2_000_000 // max(1, len(v)))
+    for i in range(0, len(h), step):
+        at = slice(i, i + step)
+        far = np.bitwise_count(f[0][at, None] ^ g[0][None, :]) + np.bitwise_count(f[1][at, None] ^ g[1][None, :])
+        near = far <= REACH
+        near &= root[at, None] != v_root[None, :]
+        crowd = np.flatnonzero(near.sum(axis=1) > most) if most is not None and len(v) > most else ()
+        if len(crowd):
+            back = near[crowd]
+            close = np.argpartition(np.where(back, far[crowd], np.uint8(255)), NEAREST, axis=1)[:, :NEAREST]
+            kept = v[back.any(axis=0)]
+            left += [np.repeat(h[at][crowd], NEAREST), h[at][crowd], kept]
+            right += [v[close.ravel()], h[at][crowd], kept]
+            near[crowd] = False
+        r, c = np.nonzero(near)
+        left.append(h[at][r])
+        right.append(v[c])
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+    if not len(a):
+        return a, b
+    both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+    return both[0], both[1]
+
+
+def met(sets: DataFrame, most: int | None, cell: int = CELL) -> DataFrame:
+    """The :func:`proposals` (a, b) of all anchors of ``sets`` (h, root, fp), some of them repeated."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(0, len(batch), 5_000):
+                part = batch.slice(i, 5_000)
+                fp = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(part), -1)
+                h, root = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                words = fp.view(np.int64)[:, :2]
+                for anchor, row, home in cover(fp):
+                    got = [anchor.astype(np.int32), h[row], root[row], words[row, 0], words[row, 1], home]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], ["anchor", "h", "root", "first", "second", "home"])
         trimmed()
 
-    return shipped(texts).select("h", "text", F.octet_length("text").alias("n")).mapInArrow(run, "h long, bucket long")
+    covered = shipped(sets).select("h", "root", "fp").mapInArrow(run, "anchor int, h long, root long, first long, second long, home boolean")
+    sizes = staged(covered.groupBy("anchor").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("visits")), "near-anchors")
+    one = F.lit(1).cast("long")
+    wide, tall = F.greatest(one, F.ceil(F.col("homes") / cell)), F.greatest(one, F.ceil(F.col("visits") / (4 * cell)))
+    grid = sizes.select("anchor", wide.alias("wide"), tall.alias("tall")).filter("wide > 1 or tall > 1")
+    dealt = with_small(covered, grid, "anchor", grid.count(), how="left", most=100_000).withColumns({"wide": F.coalesce("wide", one), "tall": F.coalesce("tall", one)})
+    row, col = F.pmod(F.xxhash64("h", F.lit(1)), F.col("tall")), F.pmod(F.xxhash64("h", F.lit(2)), F.col("wide"))
+    # A visit goes to all columns of its row, a home to all rows of its column; both at once, so the anchors are found once.
+    as_visit = F.transform(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1), lambda c: F.struct(c.alias("col"), row.alias("row"), F.lit(False).alias("at_home")))
+    as_home = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tall") - 1), lambda r: F.struct(col.alias("col"), r.alias("row"), F.lit(True).alias("at_home")))
+    places = F.when(F.col("home"), F.concat(as_visit, as_home)).otherwise(as_visit)
+    rows = sizes.agg(F.sum("visits")).first()[0] or 0
+    parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART))
+    cells = dealt.withColumn("to", F.explode(places)).select(F.xxhash64("anchor", "to.col", "to.row").alias("place"), "h", "root", "first", "second", F.col("to.at_home").alias("home"))
+
+    def compare(table):
+        import pyarrow as pa
+
+        place, home = (table.column(c).to_numpy() for c in ("place", "home"))
+        order = np.lexsort((home, place))
+        columns = [table.column(c).to_numpy()[order] for c in ("h", "root", "first", "second")]
+        columns[2:] = [c.view(np.uint64) for c in columns[2:]]
+        place, home = place[order], home[order]
+        starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        ends = np.append(starts[1:], len(place))
+        middles = ends - np.add.reduceat(home.astype(np.int64), starts)
+        found = []
+        for i, m, e in zip(starts.tolist(), middles.tolist(), ends.tolist(), strict=True):
+            if m < e and m - i > 1:
+                found.append(proposals(tuple(c[m:e] for c in columns), tuple(c[i:m] for c in columns), most))
+        a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return cells.withColumn("part", F.pmod("place", F.lit(parts))).groupBy("part").applyInArrow(compare, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -107,26 +207,54 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return shipped(left).join(right, ["b", "part"]).select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
+def verified_in_blocks(pairs: DataFrame, texts: DataFrame, words: int, percent: int, rows: int, block: int = 500) -> DataFrame:
+    """As :func:`verified`, for many pairs of ``rows`` texts: a text is sent once for each two blocks of about ``block`` texts, not for each pair."""
+    many = F.lit(-(-rows // block) or 1)
+    place = lambda c: F.pmod(F.xxhash64(c, F.lit(3)), many)
+    keyed = pairs.withColumns({"p": place("a"), "q": place("b")})
+    wanted = keyed.select("p", "q").distinct()
+    named = texts.select("h", "text", place("h").alias("at"))
+    sent = named.join(wanted.withColumn("at", F.explode(F.array_distinct(F.array("p", "q")))), "at")
+
+    def compare(left, right):
+        import pyarrow as pa
+
+        sets = {h: shingles(t.as_buffer().to_pybytes(), words) for h, t in zip(right.column("h").to_pylist(), right.column("text"), strict=True)}
+        good = [similar(sets[a], sets[b], percent) for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True)]
+        return left.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return shipped(keyed).groupBy("p", "q").cogroup(sent.select("p", "q", "h", "text").toDF("left", "right", "h", "text").groupBy("left", "right")).applyInArrow(compare, "a long, b long")
+
+
 def roots(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """h and root of every distinct text of ``docs``: equal for texts that a chain of similar ones links."""
     every = docs.select(text_key().alias("h"), F.coalesce("text", F.lit("")).alias("text"))
-    placed = staged(buckets(every, words).distinct(), "near-buckets")
-    crowded = placed.groupBy("bucket").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high")
-    near = staged(placed.join(crowded, "bucket").select("h", "low", "high").distinct(), "near-candidates")
-    names = staged(near.select(F.explode(F.array("h", "low", "high")).alias("h")).distinct(), "near-names")
-    texts = with_small(every, names, "h", names.count(), "left_semi", 2_000_000)
-    texts = staged(texts.dropDuplicates(["h"]), "near-texts")
-    first = staged(near.filter("h <> low").select(F.col("h").alias("a"), F.col("low").alias("b")).distinct(), "near-pairs")
-    sure = staged(verified(first, texts, words, percent), "near-links")
-    root = staged(components(sure), "near-roots")
-    second = near.filter("h <> high").select(F.col("h").alias("a"), F.col("high").alias("b")).distinct()
-    second = second.join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    for side in "ab":
-        second = second.join(root.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-    more = staged(verified(staged(second.filter(apart).select("a", "b"), "near-pairs"), texts, words, percent), "near-links")
-    root = components(sure.unionByName(more))
-    return placed.select("h").distinct().join(root.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("root", "h").alias("root"))
+    placed = staged(fingerprints(every, words).dropDuplicates(["h"]), "near-fingerprints")
+    # Texts of equal sets are similar for sure, so one of them stands for all.
+    sets = staged(placed.groupBy("name").agg(F.min("h").alias("h"), F.first("fp").alias("fp")), "near-sets")
+    left = sets.select("h", F.col("h").alias("root"), "fp")
+    sure = tested = texts = root = links = None
+    for turn in range(ROUNDS):
+        last = turn == ROUNDS - 1 or links == 0
+        found = staged((met(left, None, CELL // 10) if last else met(left, MOST)).distinct(), "near-met")
+        if texts is None:  # later rounds propose texts of the first one only
+            names = staged(found.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "near-names")
+            texts = with_small(every, names, "h", names.count(), "left_semi", 2_000_000)
+            texts = staged(texts.dropDuplicates(["h"]), "near-texts")
+        pairs = found.filter("a <> b")
+        pairs = pairs if tested is None else staged(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        new = verified_in_blocks(pairs, texts.join(left.select("h"), "h", "left_semi"), words, percent, left.count()) if last else verified(pairs, texts, words, percent)
+        new = staged(new, "near-links")
+        sure = new if sure is None else sure.unionByName(new)
+        root, links = staged(components(sure), "near-roots"), new.count()
+        crowded = found.filter("a = b").select(F.col("a").alias("h"))
+        if last or crowded.limit(1).count() == 0:
+            break
+        left = sets.join(crowded, "h", "left_semi").join(root.select(F.col("node").alias("h"), "root"), "h", "left")
+        left = staged(left.select("h", F.coalesce("root", "h").alias("root"), "fp"), "near-left")
+    named = sets.select("name", F.col("h").alias("node")).join(root, "node", "left").select("name", F.coalesce("root", "node").alias("root"))
+    return placed.select("h", "name").join(named, "name").select("h", "root")
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -357,6 +357,45 @@ def test_pipeline_drops_edited_copies(spark, sf_dir):
     assert near_duplicates(spark, docs.limit(0), sf_dir).count() == 0
 
 
+def test_near_copies_meet_at_golay_anchors(spark):
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 2**63, 9, np.uint64)
+    mixed = near_copies.mixed(hashes[:, None] * near_copies._SEEDS[None, :])
+    want = [sum(int(x) >> b & 1 for x in mixed[:, w]) > 4 for w in range(near_copies.WORDS) for b in range(64)]
+    fp = near_copies.fingerprint(hashes)
+    assert np.unpackbits(np.frombuffer(fp, np.uint8), bitorder="little").tolist() == want
+    # Any 16 differing bits leave a block in which one is at home where the other visits.
+    base = rng.integers(0, 2, 64 * near_copies.WORDS)
+    bits = np.array([base] * 30)
+    for r, row in enumerate(bits):
+        row[rng.choice(near_copies.BLOCKS * near_copies.WIDTH, 8, replace=False)] ^= 1
+    far = rng.integers(0, 2, (30, 64 * near_copies.WORDS))
+    rows = [(i, i, np.packbits(b.astype(np.uint8), bitorder="little").tobytes()) for i, b in enumerate([*bits, *far])]
+    sets = spark.createDataFrame(rows, "h long, root long, fp binary")
+    for cell in (near_copies.CELL, 2):  # the grid of a large anchor gives the same pairs
+        got = {(r.a, r.b) for r in near_copies.met(sets, None, cell).collect()}
+        assert got == {(a, b) for a in range(30) for b in range(a)}
+
+
+def test_near_copies_of_a_crowd_lose_none(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "MOST", 2)
+    rng = np.random.default_rng(8)
+    base, texts = [f"w{i}" for i in range(150)], []
+    for _ in range(40):  # a crowd about the limit, so that many of the nearest pairs are no links
+        row = list(base)
+        for at in rng.choice(150, 3, replace=False):
+            row[at] = f"x{rng.integers(10**9)}"
+        texts.append(" ".join(row))
+    pairs = brute_near(texts)
+    group = list(range(len(texts)))
+    for a, b in pairs:
+        group = [group[a] if g == group[b] else g for g in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = {r.doc_id: r.h for r in docs.select("doc_id", simhash.text_key().alias("h")).collect()}
+    got = {r.h: r.root for r in near_copies.roots(docs).collect()}
+    assert len({(group[i], got[keys[i]]) for i in range(len(texts))}) == len(set(group)) == len(set(got.values())) > 1
+
+
 # ------------------------------------------------------------------------------- decontamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
