@@ -7,8 +7,9 @@ meet at an anchor, one of them at home, are proposed if their first 128 bits are
 of texts of similarity 0.8 differ in 15 % of the bits; at that rate a block joins 39.5 % of the pairs, 16
 blocks miss 0.03 % and the reach 0.06 %. At most 31 differing bits in the 16 blocks always leave one where the texts meet.
 
-A text with many proposals at an anchor gives the nearest of them, and what is still apart then is proposed again,
-in ``ROUNDS`` rounds at most; the last one proposes every pair that is left, so groups of many texts lose none.
+Proposals are no rows: an anchor gives a spanning forest of them, and texts that a chain of proposals joins are a
+crowd. All texts of a crowd are compared with each other, by their whole sets of shingles and inside the tasks, which
+give spanning forests of the links. So a crowd's comparisons grow with its square, but no table of pairs is made.
 """
 
 from __future__ import annotations
@@ -18,17 +19,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import shipped, slices, staged, trimmed, with_small
-from .simhash import PART, RADIUS, anchors_within, components, survivors, text_key
+from .simhash import PART, RADIUS, SENT_ROWS, anchors_within, components, survivors, text_key
 
 WORDS, BLOCKS, WIDTH = 6, 16, 23
-#: Differing bits, of the first 128, up to which two texts are compared.
+#: Differing bits, of the first 128, up to which two texts are proposed.
 REACH = 33
-#: Proposals of one text at one anchor that are all made at once, those made of more, and rounds until all that is left is proposed.
-MOST, NEAREST, ROUNDS = 8, 2, 3
+#: Proposals of each text at one anchor, on the mean of those with any, that are given as they are; of more, a spanning forest is given.
+MOST = 2
 #: Texts at home at an anchor (and a quarter of its visits) that one task compares at once; larger anchors are split into a grid.
 CELL = 10_000
-#: Pairs of one text that are compared by one task at most, about.
-SHARE = 500
+#: Texts of a crowd that are compared with as many others at once, and the blocks up to which a crowd is split for that.
+SHARE, GRID = 128, 24
+#: Bytes of texts, in a block of a crowd, beyond which it is split further, and those that one task reads, about.
+BYTES, TASK_BYTES = 8_000_000, 32_000_000
 _SEEDS = np.random.default_rng(11).integers(0, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -97,40 +100,58 @@ def cover(fp: np.ndarray):
         yield b << 12 | anchor >> 11, row, np.bitwise_count(value[row] ^ anchor) <= RADIUS
 
 
+class Forest:
+    """Of the links between ``n`` nodes that it is shown, those that join what was apart until then."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.left, self.right = [], []
+
+    def add(self, me: int, others: np.ndarray) -> None:
+        far = others[self.label[others] != self.label[me]]
+        if len(far):
+            _, pick = np.unique(self.label[far], return_index=True)
+            far = far[pick]
+            self.left.append(np.full(len(far), me))
+            self.right.append(far)
+            joined = np.zeros(len(self.label), bool)
+            joined[self.label[far]] = True
+            self.label[joined[self.label]] = self.label[me]
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *self.left]), np.concatenate([none, *self.right])
+
+
 def proposals(homes: tuple, visits: tuple, most: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a, b) of texts at one anchor that are within reach and apart, a > b; each is (h, root, first, second word).
+    """Pairs (a, b) of texts at one anchor that are within reach, a > b; each is (h, first, second word).
 
-    A home with over ``most`` of them gives its ``NEAREST`` ones, and (h, h) of itself and of all that it
-    keeps back; None gives all.
+    Of those with over ``most`` for each home a spanning forest is given, so the groups are the same; None gives all.
     """
-    (h, root, *f), (v, v_root, *g) = homes, visits
-    left, right = [], []
+    (h, *f), (v, *g) = homes, visits
+    nodes = np.unique(np.concatenate([h, v]))
+    at_home, at_visit = np.searchsorted(nodes, h), np.searchsorted(nodes, v)
+    forest, left, right = Forest(len(nodes)), [], []
     step = max(1, 2_000_000 // max(1, len(v)))
     for i in range(0, len(h), step):
         at = slice(i, i + step)
-        far = np.bitwise_count(f[0][at, None] ^ g[0][None, :]) + np.bitwise_count(f[1][at, None] ^ g[1][None, :])
-        near = far <= REACH
-        near &= root[at, None] != v_root[None, :]
-        crowd = np.flatnonzero(near.sum(axis=1) > most) if most is not None and len(v) > most else ()
-        if len(crowd):
-            back = near[crowd]
-            close = np.argpartition(np.where(back, far[crowd], np.uint8(255)), NEAREST, axis=1)[:, :NEAREST]
-            kept = v[back.any(axis=0)]
-            left += [np.repeat(h[at][crowd], NEAREST), h[at][crowd], kept]
-            right += [v[close.ravel()], h[at][crowd], kept]
-            near[crowd] = False
-        r, c = np.nonzero(near)
-        left.append(h[at][r])
-        right.append(v[c])
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    if not len(a):
-        return a, b
-    both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-    return both[0], both[1]
+        near = np.bitwise_count(f[0][at, None] ^ g[0][None, :]) + np.bitwise_count(f[1][at, None] ^ g[1][None, :]) <= REACH
+        near &= at_home[at, None] != at_visit[None, :]
+        some = np.flatnonzero(near.any(axis=1))
+        if most is None or np.count_nonzero(near) <= most * len(some):
+            r, c = np.nonzero(near)
+            left.append(at_home[at][r])
+            right.append(at_visit[c])
+        else:
+            for r in some:
+                forest.add(at_home[i + r], at_visit[near[r]])
+    a, b = (np.concatenate([*x, y]) for x, y in zip((left, right), forest.links(), strict=True))
+    both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1) if len(a) else np.stack([a, b])
+    return nodes[both[0]], nodes[both[1]]
 
 
 def met(sets: DataFrame, most: int | None, cell: int = CELL) -> DataFrame:
-    """The :func:`proposals` (a, b) of all anchors of ``sets`` (h, root, fp), some of them repeated."""
+    """The :func:`proposals` (a, b) of all anchors of ``sets`` (h, fp), some of them repeated."""
 
     def run(batches):
         import pyarrow as pa
@@ -138,15 +159,15 @@ def met(sets: DataFrame, most: int | None, cell: int = CELL) -> DataFrame:
         for batch in batches:
             for i in range(0, len(batch), 5_000):
                 part = batch.slice(i, 5_000)
-                fp = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(part), -1)
-                h, root = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                fp = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(len(part), -1)
+                h = part.column(0).to_numpy(zero_copy_only=False)
                 words = fp.view(np.int64)[:, :2]
                 for anchor, row, home in cover(fp):
-                    got = [anchor.astype(np.int32), h[row], root[row], words[row, 0], words[row, 1], home]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], ["anchor", "h", "root", "first", "second", "home"])
+                    got = [anchor.astype(np.int32), h[row], words[row, 0], words[row, 1], home]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], ["anchor", "h", "first", "second", "home"])
         trimmed()
 
-    covered = shipped(sets).select("h", "root", "fp").mapInArrow(run, "anchor int, h long, root long, first long, second long, home boolean")
+    covered = shipped(sets).select("h", "fp").mapInArrow(run, "anchor int, h long, first long, second long, home boolean")
     sizes = staged(covered.groupBy("anchor").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("visits")), "near-anchors")
     one = F.lit(1).cast("long")
     wide, tall = F.greatest(one, F.ceil(F.col("homes") / cell)), F.greatest(one, F.ceil(F.col("visits") / (4 * cell)))
@@ -159,15 +180,16 @@ def met(sets: DataFrame, most: int | None, cell: int = CELL) -> DataFrame:
     places = F.when(F.col("home"), F.concat(as_visit, as_home)).otherwise(as_visit)
     rows = sizes.agg(F.sum("visits")).first()[0] or 0
     parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART))
-    cells = dealt.withColumn("to", F.explode(places)).select(F.xxhash64("anchor", "to.col", "to.row").alias("place"), "h", "root", "first", "second", F.col("to.at_home").alias("home"))
+    cells = dealt.withColumn("to", F.explode(places)).select(F.xxhash64("anchor", "to.col", "to.row").alias("place"), "h", "first", "second", F.col("to.at_home").alias("home"))
 
     def compare(table):
         import pyarrow as pa
 
         place, home = (table.column(c).to_numpy() for c in ("place", "home"))
-        order = np.lexsort((home, place))
-        columns = [table.column(c).to_numpy()[order] for c in ("h", "root", "first", "second")]
-        columns[2:] = [c.view(np.uint64) for c in columns[2:]]
+        # In the order of h, so that anchors with the same texts give the same forests.
+        order = np.lexsort((table.column("h").to_numpy(), home, place))
+        columns = [table.column(c).to_numpy()[order] for c in ("h", "first", "second")]
+        columns[1:] = [c.view(np.uint64) for c in columns[1:]]
         place, home = place[order], home[order]
         starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         ends = np.append(starts[1:], len(place))
@@ -182,48 +204,61 @@ def met(sets: DataFrame, most: int | None, cell: int = CELL) -> DataFrame:
     return cells.withColumn("part", F.pmod("place", F.lit(parts))).groupBy("part").applyInArrow(compare, "a long, b long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose ``texts`` (h, text) are similar; a ``b`` of many pairs is dealt to several tasks."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        last, its = None, None
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            left, right = batch.column(2), batch.column(3)
-            good = []
-            for i in range(len(a)):
-                if b[i] != last:
-                    last, its = b[i], shingles(right[i].as_buffer().to_pybytes(), words)
-                good.append(similar(shingles(left[i].as_buffer().to_pybytes(), words), its, percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-        trimmed()
-
-    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SHARE).alias("parts"))
-    right = texts.join(parts, F.col("h") == F.col("b")).select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("text").alias("right"))
-    own = F.pmod(F.xxhash64("a"), F.col("parts")).alias("part")
-    left = pairs.join(parts, "b").select("a", "b", own).join(texts.select(F.col("h").alias("a"), F.col("text").alias("left")), "a")
-    return shipped(left).join(right, ["b", "part"]).select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
-
-
-def verified_in_blocks(pairs: DataFrame, texts: DataFrame, words: int, percent: int, rows: int, block: int = 500) -> DataFrame:
-    """As :func:`verified`, for many pairs of ``rows`` texts: a text is sent once for each two blocks of about ``block`` texts, not for each pair."""
-    many = F.lit(-(-rows // block) or 1)
-    place = lambda c: F.pmod(F.xxhash64(c, F.lit(3)), many)
-    keyed = pairs.withColumns({"p": place("a"), "q": place("b")})
-    wanted = keyed.select("p", "q").distinct()
-    named = texts.select("h", "text", place("h").alias("at"))
-    sent = named.join(wanted.withColumn("at", F.explode(F.array_distinct(F.array("p", "q")))), "at")
+def similar_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a, b) of links that span the groups of similar ``sets``: those of side 1 are compared with those of side 2, of side 0 with all of side 0."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    # An empty set is similar to no other one.
+    left, right = np.flatnonzero((side != 2) & (size > 0)), np.flatnonzero((side != 1) & (size > 0))
+    forest = Forest(len(sets))
+    if len(left) and len(right):
+        ends = np.cumsum(size)
+        _, number = np.unique(np.concatenate(sets), return_inverse=True)
+        own = [number[e - n : e] for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
+        theirs, starts = np.concatenate([own[i] for i in right]), np.cumsum(size[right]) - size[right]
+        mark = np.zeros(len(number), np.int32)
+        for i in left.tolist():
+            if (forest.label[right] != forest.label[i]).any():
+                mark[own[i]] = 1
+                both = np.add.reduceat(mark[theirs], starts)
+                mark[own[i]] = 0
+                forest.add(i, right[100 * both.astype(np.int64) >= percent * (size[i] + size[right] - both)])
+    return forest.links()
+
+
+def verified(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that span the groups of similar ``texts`` (h, text, crowd): all texts of a crowd are compared.
+
+    A crowd is cut into at most ``GRID`` blocks (more where it holds over ``GRID`` times ``BYTES``), and each two
+    blocks are compared at once. So a text is sent once for each block, not for each other text.
+    """
+    n = F.octet_length("text").cast("long")
+    sizes = staged(texts.groupBy("crowd").agg(F.count("*").alias("rows"), F.sum(n).alias("bytes")), "near-crowds")
+    blocks = F.greatest(F.least(F.ceil(F.col("rows") / SHARE), F.lit(GRID).cast("long")), F.ceil(F.col("bytes") / BYTES))
+    sizes = sizes.withColumn("blocks", F.greatest(F.lit(1).cast("long"), F.least("rows", blocks)))
+    crowds, rows, total = sizes.agg(F.count("*"), F.sum(F.col("rows") * F.col("blocks")), F.sum(F.col("bytes") * F.col("blocks"))).first()
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(rows or 0) // PART), -(-(total or 0) // TASK_BYTES))
+    block = F.pmod(F.xxhash64("h", F.lit(3)), F.col("blocks"))
+    dealt = with_small(texts, sizes.select("crowd", "blocks"), "crowd", crowds, most=SENT_ROWS).withColumn("block", block)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    cells = dealt.select(F.xxhash64("crowd", F.least("block", "other"), F.greatest("block", "other")).alias("place"), "h", side.alias("side"), "text")
 
-    def compare(left, right):
+    def compare(table):
         import pyarrow as pa
 
-        sets = {h: shingles(t.as_buffer().to_pybytes(), words) for h, t in zip(right.column("h").to_pylist(), right.column("text"), strict=True)}
-        good = [similar(sets[a], sets[b], percent) for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True)]
-        return left.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        place, side, h = (table.column(c).to_numpy() for c in ("place", "side", "h"))
+        text = table.column("text")
+        order = np.argsort(place, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(place[order]) != 0]))
+        found = [(h[:0], h[:0])]
+        for at in np.split(order, starts[1:]):
+            if len(at) > 1:
+                a, b = similar_links([shingles(text[i].as_buffer().to_pybytes(), words) for i in at.tolist()], side[at], percent)
+                found.append((h[at][a], h[at][b]))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return shipped(keyed).groupBy("p", "q").cogroup(sent.select("p", "q", "h", "text").toDF("left", "right", "h", "text").groupBy("left", "right")).applyInArrow(compare, "a long, b long")
+    return shipped(cells).withColumn("part", F.pmod("place", F.lit(parts))).groupBy("part").applyInArrow(compare, "a long, b long")
 
 
 def roots(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -232,27 +267,11 @@ def roots(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     placed = staged(fingerprints(every, words).dropDuplicates(["h"]), "near-fingerprints")
     # Texts of equal sets are similar for sure, so one of them stands for all.
     sets = staged(placed.groupBy("name").agg(F.min("h").alias("h"), F.first("fp").alias("fp")), "near-sets")
-    left = sets.select("h", F.col("h").alias("root"), "fp")
-    sure = tested = texts = root = links = None
-    for turn in range(ROUNDS):
-        last = turn == ROUNDS - 1 or links == 0
-        found = staged((met(left, None, CELL // 10) if last else met(left, MOST)).distinct(), "near-met")
-        if texts is None:  # later rounds propose texts of the first one only
-            names = staged(found.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "near-names")
-            texts = with_small(every, names, "h", names.count(), "left_semi", 2_000_000)
-            texts = staged(texts.dropDuplicates(["h"]), "near-texts")
-        pairs = found.filter("a <> b")
-        pairs = pairs if tested is None else staged(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = verified_in_blocks(pairs, texts.join(left.select("h"), "h", "left_semi"), words, percent, left.count()) if last else verified(pairs, texts, words, percent)
-        new = staged(new, "near-links")
-        sure = new if sure is None else sure.unionByName(new)
-        root, links = staged(components(sure), "near-roots"), new.count()
-        crowded = found.filter("a = b").select(F.col("a").alias("h"))
-        if last or crowded.limit(1).count() == 0:
-            break
-        left = sets.join(crowded, "h", "left_semi").join(root.select(F.col("node").alias("h"), "root"), "h", "left")
-        left = staged(left.select("h", F.coalesce("root", "h").alias("root"), "fp"), "near-left")
+    joined = components(met(sets, MOST))
+    crowds = staged(joined.toDF("h", "crowd").unionByName(joined.select(F.col("root").alias("h"), F.col("root").alias("crowd"))).distinct(), "near-names")
+    texts = with_small(every, crowds, "h", crowds.count(), most=SENT_ROWS)
+    texts = staged(texts.dropDuplicates(["h"]), "near-texts")
+    root = staged(components(verified(texts, words, percent)), "near-roots")
     named = sets.select("name", F.col("h").alias("node")).join(root, "node", "left").select("name", F.coalesce("root", "node").alias("root"))
     return placed.select("h", "name").join(named, "name").select("h", "root")
 

@@ -396,6 +396,50 @@ def test_near_copies_of_a_crowd_lose_none(spark, monkeypatch):
     assert len({(group[i], got[keys[i]]) for i in range(len(texts))}) == len(set(group)) == len(set(got.values())) > 1
 
 
+def test_near_copies_of_a_crowd_make_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base, texts = [f"w{i}" for i in range(200)], []
+    for k in range(120):  # most are proposed to most others and linked to none
+        row = list(base)
+        for at in rng.choice(200, 6 if k < 100 else 1, replace=False):
+            row[at] = f"x{rng.integers(10**9)}"
+        texts.append(" ".join(row))
+    rows, real = {}, near_copies.staged
+
+    def staged(df, name):
+        out = real(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    named = docs.select(simhash.text_key().alias("h"), "text").selectExpr("*", "1L AS crowd")
+    number = {r.h: i for i, r in enumerate(named.select("h").collect())}
+
+    def groups(pairs):
+        group = list(range(len(texts)))
+        for a, b in pairs:
+            group = [group[a] if g == group[b] else g for g in group]
+        return {frozenset(i for i, g in enumerate(group) if g == k) for k in group}
+
+    want = groups(brute_near(texts))
+    monkeypatch.setattr(near_copies, "staged", staged)
+    monkeypatch.setattr(simhash, "staged", staged)
+    assert want == groups([(number[r.h], number[r.root]) for r in near_copies.roots(docs).collect()]) and 50 < len(want) < 110
+    every, some = (near_copies.met(near_copies.fingerprints(named, 5), most).distinct().collect() for most in (None, near_copies.MOST))
+    assert groups([(number[a], number[b]) for a, b in every]) == groups([(number[a], number[b]) for a, b in some])
+    assert len(some) < len(every) and len(every) > 5_000
+    assert rows.pop("near-anchors") <= 2**16 and rows.pop("star") <= len(some) and max(rows.values()) <= len(texts)
+    bits = np.packbits(rng.integers(0, 2, 64 * near_copies.WORDS) ^ (rng.random((800, 64 * near_copies.WORDS)) < 0.08), axis=1, bitorder="little")
+    crowd = spark.createDataFrame([(i, b.tobytes()) for i, b in enumerate(bits)], "h long, fp binary")
+    every, some = near_copies.met(crowd, None).distinct().count(), near_copies.met(crowd, near_copies.MOST).count()
+    assert every > 300 * len(bits) and some < 120 * len(bits)  # no more than the rows at anchors, about
+    for share, most_bytes in ((8, near_copies.BYTES), (near_copies.SHARE, 10_000)):  # blocks of either kind
+        monkeypatch.setattr(near_copies, "SHARE", share)
+        monkeypatch.setattr(near_copies, "BYTES", most_bytes)
+        links = near_copies.verified(named, 5, 80).collect()
+        assert want == groups([(number[r.a], number[r.b]) for r in links])
+
+
 # ------------------------------------------------------------------------------- decontamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
