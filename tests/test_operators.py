@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.common import EngineError, with_position
 from tallyframe.functions.order_stats import order_statistics
+from tallyframe.operators import matching
 from tallyframe.operators import relational as R
 from tallyframe.operators.binned import binned_means
 from tallyframe.operators.matching import psm_match
@@ -169,3 +170,48 @@ def test_matching_edges(spark):
         psm_match(df.withColumn("t", F.col("id")), "t", "id", pscore="p")
     with pytest.raises(EngineError):
         psm_match(df, "t", "id", pscore="p", replacement=False, neighbor=2)
+
+
+@pytest.fixture
+def kept_rows(monkeypatch):
+    """Numbers of rows of the intermediate tables that matching writes."""
+    counts, write = {}, matching.written
+
+    def counted(df, name):
+        out = write(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(matching, "written", counted)
+    return counts
+
+
+def _scored(spark, n=240):
+    """Few distinct scores, so that many tie; every control is within .3 of some treated row."""
+    data = [(i, i % 3 == 0, (i * 7 % 41) / 60, float(i % 17)) for i in range(n)]
+    return data, spark.createDataFrame([(i, int(t), p, y) for i, t, p, y in data], "id long, t int, p double, y double")
+
+
+def _by_hand(data, reach, kernel):
+    pairs = {}
+    for i, _, p, _ in (r for r in data if r[1]):
+        near = [(j, abs(p - q), q) for j, t, q, _ in data if not t and abs(p - q) <= reach and kernel(abs(p - q)) > 0]
+        total = sum(kernel(d) for _, d, _ in near)
+        pairs |= {(i, j): (kernel(d) / total, d, q) for j, d, q in near}
+    return pairs
+
+
+def test_radius_effect_keeps_no_pairs(spark, monkeypatch, kept_rows):
+    monkeypatch.setattr(matching, "BLOCK", 16, raising=False)
+    data, df = _scored(spark)
+    m = psm_match(df, "t", "id", outcome="y", pscore="p", method="radius", caliper=0.3)
+    pairs = _by_hand(data, 0.3, lambda d: 1.0)
+    assert len(pairs) > 8000 and max(kept_rows.values()) <= 3 * len(data)
+    got = {r.id: r for r in m.rows.collect()}
+    for i, t, p, _ in data:
+        own = [(d, q >= p, q, j) for (a, j), (_, d, q) in pairs.items() if a == i]
+        share = sum(w for (_, j), (w, _, _) in pairs.items() if j == i)
+        assert got[i]._weight == pytest.approx(float(bool(own)) if t else share)
+        assert (got[i]._nn, got[i]._id) == ((len(own), min(own)[3]) if t else (None, None))
+    means = [sum(r.y * r._weight for r in got.values() if r.t == t) / sum(r._weight for r in got.values() if r.t == t) for t in (0, 1)]
+    assert m.att["att"] == pytest.approx(means[1] - means[0])
