@@ -215,3 +215,12 @@ def test_radius_effect_keeps_no_pairs(spark, monkeypatch, kept_rows):
         assert (got[i]._nn, got[i]._id) == ((len(own), min(own)[3]) if t else (None, None))
     means = [sum(r.y * r._weight for r in got.values() if r.t == t) / sum(r._weight for r in got.values() if r.t == t) for t in (0, 1)]
     assert m.att["att"] == pytest.approx(means[1] - means[0])
+
+
+def test_radius_pairs_are_not_kept(spark, monkeypatch, kept_rows):
+    monkeypatch.setattr(matching, "BLOCK", 16, raising=False)
+    data, df = _scored(spark)
+    got = psm_match(df, "t", "id", pscore="p", method="radius", caliper=0.3).pairs.collect()
+    want = _by_hand(data, 0.3, lambda d: 1.0)
+    assert max(kept_rows.values()) <= 3 * len(data) < len(got)
+    assert {(r.treated, r.control): (r.weight, r.distance) for r in got} == {k: pytest.approx(v[:2]) for k, v in want.items()} and len(got) == len(want)
