@@ -22,7 +22,7 @@ def test_entry(spark):
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
-@pytest.mark.parametrize("stat", ["first", "firstnm", "last"])
+@pytest.mark.parametrize("stat", ["first", "firstnm", "last", "lastnm"])
 def test_range_order_of_keys_beyond_a_million(spark, duck, tmp_path, stat):
     # A key that is a million larger, a day earlier, is a tie in the SQL's order.
     rows = [(9_000_000 - i * 999_983 % 8_999_999, i % 3, 100.0 + i, 1 + i % 28) for i in range(90)] + [(5_000_002, 4, 1.0, 1), (4_000_002, 4, 2.0, 2), (5_000_003, 5, 3.0, 2), (4_000_003, 5, 4.0, 3), (3_000_003, 5, 5.0, 4)]
