@@ -1,5 +1,7 @@
 """Rules that the registered queries do not show: errors, missing values, edge tables."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,3 +226,23 @@ def test_radius_pairs_are_not_kept(spark, monkeypatch, kept_rows):
     want = _by_hand(data, 0.3, lambda d: 1.0)
     assert max(kept_rows.values()) <= 3 * len(data) < len(got)
     assert {(r.treated, r.control): (r.weight, r.distance) for r in got} == {k: pytest.approx(v[:2]) for k, v in want.items()} and len(got) == len(want)
+
+
+KERNELS = {
+    "epan": lambda u: 0.75 * (1 - u * u) if u < 1 else 0,
+    "normal": lambda u: math.exp(-u * u / 2),
+    "biweight": lambda u: (1 - u * u) ** 2 if u < 1 else 0,
+    "uniform": lambda u: 0.5,
+    "tricube": lambda u: (1 - u**3) ** 3 if u < 1 else 0,
+}
+
+
+@pytest.mark.parametrize("kind", ["tricube"])
+def test_kernel_pairs_are_not_kept(spark, monkeypatch, kept_rows, kind):
+    monkeypatch.setattr(matching, "BLOCK", 16, raising=False)
+    data, df = _scored(spark)
+    h = 0.05 if kind == "normal" else 0.29
+    got = psm_match(df, "t", "id", pscore="p", method="kernel", kerneltype=kind, bwidth=h).pairs.collect()
+    want = _by_hand(data, 6 * h if kind == "normal" else h, lambda d: KERNELS[kind](d / h))
+    assert max(kept_rows.values()) <= 3 * len(data) < len(got)
+    assert {(r.treated, r.control): (r.weight, r.distance) for r in got} == {k: pytest.approx(v[:2]) for k, v in want.items()} and len(got) == len(want)
