@@ -237,7 +237,7 @@ KERNELS = {
 }
 
 
-@pytest.mark.parametrize("kind", ["tricube", "epan", "normal", "biweight"])
+@pytest.mark.parametrize("kind", ["tricube", "epan", "normal", "biweight", "uniform"])
 def test_kernel_pairs_are_not_kept(spark, monkeypatch, kept_rows, kind):
     monkeypatch.setattr(matching, "BLOCK", 16, raising=False)
     data, df = _scored(spark)
